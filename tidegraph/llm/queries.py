@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat_format, packing, quality_rules, secret_scan, simhash_dedup
+from tidegraph.llm import byte_bpe, chat_format, packing, quality_rules, secret_scan, simhash_dedup, url_filter, winnow
 from tidegraph.llm.common import in_arrow
 
 
@@ -21,6 +21,71 @@ def span_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+FIRST_DAY, LAST_DAY = "2024-01-01", "2024-12-31"
+
+
+def op1_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries derived from the URLs' hosts: for domains, hosts and first path segments."""
+    host, segment, v = F.col("host"), F.col("segment"), F.col("v")
+    named = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^/?#]+)", 1).alias("segment"))
+    rows = named.where("host is not null").distinct().select("*", F.explode(F.array(*map(F.lit, range(6)))).alias("v"))
+    domain = F.concat(F.lit("."), F.regexp_replace(host, r"^.*[.]([^.]+[.][^.]+)$", "$1"))
+    key = F.when(v < 2, domain).when(v < 4, host).otherwise(F.concat(host, F.lit("/"), segment))
+    shift = (F.length(host) * 31 + v * 97 + F.when(v < 4, 0).otherwise(F.length(segment) * 13)) % 366
+    turn = (F.length(host) + v) % 3
+    kind = F.when(v < 2, "domain").when(v < 4, "host").otherwise("prefix")
+    return rows.select(
+        key.alias("key"),
+        F.when(turn == 0, "block").when(turn == 1, "allow").otherwise("remove").alias("action"),
+        F.concat(kind, F.lit("-"), shift.cast("string")).alias("rule"),
+        F.date_add(F.lit(FIRST_DAY).cast("date"), shift.cast("int")).alias("day"),
+    ).distinct()
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_day", F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("page_id") * 37 % 366).cast("int")))
+    judged = url_filter.judge(captures, op1_entries(pages), FIRST_DAY, LAST_DAY)
+    return judged.select("page_id", "url", F.col("fetch_day").cast("string").alias("fetch_day"), "action", "rule", "level", "n_rules")
+
+
+OP1_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetch_day,
+         lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')) AS host,
+         regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1) AS segment,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages),
+e AS (
+  SELECT DISTINCT
+         CASE WHEN v < 2 THEN '.' || regexp_replace(host, '^.*[.]([^.]+[.][^.]+)$', '') WHEN v < 4 THEN host ELSE host || '/' || segment END AS key,
+         CASE (length(host) + v) % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'remove' END AS action,
+         CASE WHEN v < 2 THEN 'domain-' WHEN v < 4 THEN 'host-' ELSE 'prefix-' END ||
+           CAST((length(host) * 31 + v * 97 + CASE WHEN v < 4 THEN 0 ELSE length(segment) * 13 END) % 366 AS VARCHAR) AS rule,
+         DATE '2024-01-01' + CAST((length(host) * 31 + v * 97 + CASE WHEN v < 4 THEN 0 ELSE length(segment) * 13 END) % 366 AS INTEGER) AS day
+  FROM (SELECT DISTINCT host, segment FROM p WHERE host IS NOT NULL) h, range(6) r(v)),
+i AS (
+  SELECT key, action, rule, day AS valid_from,
+         coalesce(lead(day) OVER (PARTITION BY key ORDER BY day, action, rule), DATE '9999-01-01') AS valid_to
+  FROM e),
+k AS (
+  SELECT page_id, fetch_day, host AS key, 50 AS level FROM p WHERE host IS NOT NULL
+  UNION ALL
+  SELECT page_id, fetch_day, '.' || array_to_string(string_split(host, '.')[-n:], '.'), n::INTEGER FROM p, range(1, 7) r(n)
+  WHERE n <= len(string_split(host, '.'))
+  UNION ALL
+  SELECT page_id, fetch_day, host || '/' || array_to_string(parts[1:n], '/'), (n + 100)::INTEGER FROM p, range(1, 4) r(n)
+  WHERE host IS NOT NULL AND n <= len(parts)),
+m AS (
+  SELECT page_id, max({'level': level, 'allows': action = 'allow', 'rule': rule}) AS best, count(*) AS n_rules
+  FROM k JOIN i USING (key) WHERE action <> 'remove' AND fetch_day >= valid_from AND fetch_day < valid_to GROUP BY page_id)
+SELECT page_id, url, CAST(fetch_day AS VARCHAR) AS fetch_day,
+       CASE WHEN best IS NULL OR best.allows THEN 'allow' ELSE 'block' END AS action,
+       best.rule AS rule, best.level AS level, coalesce(n_rules, 0)::BIGINT AS n_rules
+FROM p LEFT JOIN m USING (page_id)
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secret_spans")
@@ -38,6 +103,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = byte_bpe.decode(byte_bpe.encode(docs).select("doc_id", "ids"))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc_id, ids, text in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("decoded").to_pylist(), strict=True):
+            flat = np.asarray(ids.values, "<u4")
+            out.append((doc_id, len(flat), hashlib.sha256(flat.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return in_arrow(decoded, each, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = F.col("failed_bits")
@@ -88,6 +167,21 @@ FROM b
 """
 
 
+def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.with_next(table(spark, sf_dir, "documents"))
+    changed = rows.withColumn("edited", winnow.edited(F.col("text"), F.col("next_text")))
+    made = changed.withColumn("edited_entries", winnow.entries(F.col("edited")))
+    return made.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        winnow.written_as(F.col("entries")).alias("fingerprint"),
+        winnow.written_as(F.col("edited_entries")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        winnow.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"),
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -113,10 +207,13 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op5_packing": op5_packing,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_winnow": op8_winnow,
     "op9_chat_format": op9_chat_format,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLE_SQL = {"op7_quality_rules": OP7_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op7_quality_rules": OP7_SQL}
