@@ -58,7 +58,7 @@ WITH p AS (
   FROM pages),
 e AS (
   SELECT DISTINCT
-         CASE WHEN v < 2 THEN '.' || regexp_replace(host, '^.*[.]([^.]+[.][^.]+)$', '') WHEN v < 4 THEN host ELSE host || '/' || segment END AS key,
+         CASE WHEN v < 2 THEN '.' || regexp_replace(host, '^.*[.]([^.]+[.][^.]+)$', '\1') WHEN v < 4 THEN host ELSE host || '/' || segment END AS key,
          CASE (length(host) + v) % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'remove' END AS action,
          CASE WHEN v < 2 THEN 'domain-' WHEN v < 4 THEN 'host-' ELSE 'prefix-' END ||
            CAST((length(host) * 31 + v * 97 + CASE WHEN v < 4 THEN 0 ELSE length(segment) * 13 END) % 366 AS VARCHAR) AS rule,
