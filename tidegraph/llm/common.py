@@ -101,18 +101,41 @@ _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 
 
 class Rolling:
-    """Hashes of any substring of a byte array in constant time, by prefix sums of a polynomial."""
+    """Hashes of any run of 64-bit values in constant time, by prefix sums of a polynomial modulo 2**64."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    def __init__(self, values: np.ndarray):
+        n = len(values)
         self.inverse = powers(n + 1, True)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * powers(n), out=self.sums[1:])
+        np.cumsum(values * powers(n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+def of_bytes(data: np.ndarray) -> Rolling:
+    return Rolling(_BYTE_VALUES[data])
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
+def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each word, bytes without white space, of the rows that bounds cuts data into."""
+    dark = np.zeros(len(data) + 1, bool)
+    dark[:-1] = ~_WHITE[data]
+    before = np.zeros(len(data) + 1, bool)
+    before[1:] = dark[:-1]
+    edge = bounds[1:-1]
+    start = np.flatnonzero(dark & ~before)
+    cut = edge[(edge > 0) & (edge < len(data))]
+    cut = np.unique(cut[dark[cut] & before[cut]])  # a word that ends where the next row's first begins
+    start = np.union1d(start, cut)
+    end = np.union1d(np.flatnonzero(before & ~dark), cut)
+    return start, end, np.searchsorted(bounds, start, "right") - 1
+
+
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest value in every window of that width, the rightmost among equals."""
     n = len(values) - width + 1
