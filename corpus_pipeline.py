@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import packing, quality_rules, secret_scan, simhash_dedup
+from tidegraph.llm import packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup
 from tidegraph.llm.common import written
 
 
@@ -18,6 +18,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that repeated passages cover."""
+    return suffix_dedup.strip(docs, cleaned=True)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced."""
     return secret_scan.redact(docs)
@@ -28,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality), ("simhash_dedup", near_duplicates), ("secret_scan", secrets), ("packing", pack)]
+STAGES = [("quality_rules", quality), ("simhash_dedup", near_duplicates), ("suffix_dedup", repeated_passages), ("secret_scan", secrets), ("packing", pack)]
 #: Fingerprints and tokens are beyond SQL.
 ORACLE_SQL = None
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import byte_bpe, chat_format, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, url_filter, winnow
+from tidegraph.llm import byte_bpe, chat_format, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, url_filter, winnow
 from tidegraph.llm.common import in_arrow
 
 
@@ -99,6 +99,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_string(base_spans), 256).alias("base_sha256"), span_string(spans).alias("spans"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.strip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.strip(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -214,6 +219,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
