@@ -210,7 +210,7 @@ def local(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], sche
     """Run an ordered kernel over a subgraph's edges in one task; more than `most` edges raise E_MAX_EDGES_EXCEEDED."""
     if edges.limit(most + 1).count() > most:
         raise GraphError("E_MAX_EDGES_EXCEEDED", str(most))
-    return edges.groupBy(F.lit(1)).applyInPandas(kernel, schema)
+    return edges.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(kernel, schema)
 
 
 def adjacency(pdf: pd.DataFrame) -> dict[str, list[str]]:

@@ -114,7 +114,8 @@ def from_events(spark: SparkSession, sf_dir: str) -> Log:
         )
 
     made = (
-        F.when(F.col("kind").isin("view", "click"), F.array(op(0, "NodeAdd", "item", dot=True)))
+        F.when(F.col("kind") == "view", F.array(op(0, "NodeAdd", "item", dot=True), op(1, "NodePropSet", "item", key="seen")))
+        .when(F.col("kind") == "click", F.array(op(0, "NodeAdd", "item", dot=True)))
         .when(F.col("kind") == "purchase", F.array(op(0, "EdgeAdd", edge=True, dot=True), op(1, "EdgePropSet", edge=True, key="amount")))
         .when(F.col("kind") == "signup", F.array(op(0, "NodeAdd", "user", dot=True), op(1, "NodePropSet", "user", key="score")))
         .when(F.col("third"), F.array(op(0, "NodeRemove", "item"), op(1, "EdgeRemove", edge=True)))
