@@ -507,7 +507,7 @@ def trust_eval(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     s = spark.read.parquet(f"{d}/supplier.parquet").select(k, F.concat(F.lit("supplier:"), k.cast("string")).alias("writer"), F.concat(F.lit("key:"), k.cast("string")).alias("key_id"))
     rec = lambda cond, kind, seq: s.where(cond).select(F.lit(seq).alias("seq"), F.lit(kind).alias("type"), "key_id", "writer")
-    records = rec(k > 0, "KEY_ADD", 1).union(rec(k % 2 == 0, "WRITER_BIND_ADD", 2)).union(rec(k % 3 == 0, "WRITER_BIND_REVOKE", 3)).union(rec(k % 5 == 0, "KEY_REVOKE", 4))
+    records = rec(k > 0, "KEY_ADD", 1).union(rec(k % 2 == 0, "WRITER_BIND_ADD", 2)).union(rec(k % 6 == 0, "WRITER_BIND_REVOKE", 3)).union(rec(k % 5 == 0, "KEY_REVOKE", 4))
     return X.trust_eval(s.select("writer"), X.trust_state(records))
 
 
