@@ -5,11 +5,10 @@ lowest rank (the leftmost among equals) until no concatenation is ranked. The ra
 array of small maps, dealt out by checksum, since a lookup in one of Spark's maps scans its keys. Each step renews the
 two ranks beside the merge alone.
 
-The corpus is cut into words by the tokenizer's pattern. Words are counted over the whole corpus; the frequent ones
-(a fixed number, so of bounded size) are folded once each and become a second literal, and any other word is folded
-where it stands. Which words are frequent changes the speed alone, never a result. Nothing but the partial counts of
-distinct words is shuffled, and texts stay in their tasks. Words of more than LONG bytes, for which steps times
-neighbours would grow with the square of the length, are folded by the tiktoken library in an Arrow batch.
+The corpus is cut into words by the tokenizer's pattern. A task gathers texts into chunks of a fixed number of bytes,
+numbers the distinct words of each, folds each of them once, and puts the ids in place of the numbers. Chunks bound the
+memory; nothing is shuffled, and a lost executor costs only its own tasks. Words of more than LONG bytes, for which
+steps times neighbours would grow with the square of the length, are folded by the tiktoken library in an Arrow batch.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -22,13 +21,14 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +37,9 @@ from tidegraph.llm.common import in_arrow, session
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The tokenizer's pattern for Java: (?U) makes white space that of Unicode.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
-#: Words whose ids are kept in the plan; the only thing sized by it is speed.
-FREQUENT = 1 << 16
+#: Bytes of words in one chunk, offsets included, and of the longest word that is folded.
+CHUNK_BYTES = 48 << 20
 LONG = 128
-_NONE = 1 << 30
 
 
 @lru_cache(4)
@@ -87,42 +86,43 @@ def rank_map(path: str = VOCABULARY) -> Column:
 
 
 def fold(word: Column, ranks: Column) -> Column:
-    """array<int>: the ids of one word. Pieces are written in hexadecimal, two digits a byte."""
-    nothing = F.array().cast("array<int>")
+    """array<int>: the ids of one word; a word that is a piece itself is not folded.
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(looked_up(ranks, piece), F.lit(_NONE))
+    Pieces are stretches of the word's hexadecimal digits, given by their bounds b; r holds the rank of each piece with
+    the next one, null where there is none. A merge drops one bound and one rank, and renews the ranks on its sides.
+    """
 
-    def begin(p: Column) -> Column:
-        r = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: rank(F.concat(x, F.get(p, i + 1))))
-        return F.struct(p.alias("p"), r.alias("r"))
+    def whole(digits: Column) -> Column:
+        n = (F.length(digits) / 2).cast("int")
 
-    def merge(state: Column, j: Column) -> Column:
-        p, r = state["p"], state["r"]
+        def rank(start: Column, end: Column) -> Column:
+            return looked_up(ranks, F.substring(digits, start, end - start))
 
-        def put(x: Column) -> Column:
-            before = F.when(j > 1, F.array(rank(F.concat(F.get(p, j - 2), x)))).otherwise(nothing)
-            after = F.when(j < F.size(r), F.array(rank(F.concat(x, F.get(p, j + 1))))).otherwise(nothing)
-            return F.struct(
-                F.concat(F.slice(p, 1, j - 1), F.array(x), F.slice(p, j + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), before, after, F.slice(r, j + 2, F.size(p))).alias("r"),
-            )
+        def begin(b: Column) -> Column:
+            r = F.transform(F.slice(b, 1, F.greatest(n - 1, F.lit(0))), lambda x: rank(x, x + 4))
+            return F.struct(b.alias("b"), r.alias("r"))
 
-        return let(F.concat(F.get(p, j - 1), F.get(p, j)), put)
+        def merge(s: Column, j: Column) -> Column:
+            def put(b: Column) -> Column:
+                left = F.filter(s["r"], lambda _, i: i != j)
+                fresh = F.transform(left, lambda x, i: F.when((i == j) | (i == j - 1), rank(F.get(b, i), F.get(b, i + 2))).otherwise(x))
+                return F.struct(b.alias("b"), fresh.alias("r"))
 
-    def step(state: Column, _: Column) -> Column:
-        def lowest(low: Column) -> Column:
-            left = F.array_position(state["r"], low).cast("int")  # 1-based place of the pair's first piece
-            return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, state).otherwise(let(left, lambda j: merge(state, j)))
+            return let(F.filter(s["b"], lambda _, i: i != j + 1), put)
 
-        return let(F.array_min(state["r"]), lowest)
+        def step(s: Column, _: Column) -> Column:
+            def lowest(low: Column) -> Column:
+                place = F.array_position(s["r"], low).cast("int") - 1  # the leftmost of equals
+                return F.when(low.isNull(), s).otherwise(let(place, lambda j: merge(s, j)))
 
-    def whole(digits: Column) -> Column:
-        n = (F.length(digits) / 2).cast("int")
-        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(digits, i * 2 - 1, F.lit(2)))
-        folded = F.reduce(F.sequence(F.lit(1), n), let(pieces, begin), step, lambda s: s["p"])
-        ids = F.when(n == 1, F.array(looked_up(ranks, digits)))
-        return ids.when(n > 1, F.transform(folded, lambda x: looked_up(ranks, x))).otherwise(nothing)
+            return let(F.array_min(s["r"]), lowest)
+
+        def ids(s: Column) -> Column:
+            return F.transform(F.slice(s["b"], 1, F.size(s["b"]) - 1), lambda x, i: rank(x, F.get(s["b"], i + 1)))
+
+        bounds = F.transform(F.sequence(F.lit(0), n), lambda i: i * 2 + 1)
+        folded = F.reduce(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), let(bounds, begin), step, ids)
+        return let(looked_up(ranks, digits), lambda own: F.when(own.isNotNull(), F.array(own)).when(n > 0, folded).otherwise(F.slice(F.array(own), 1, 0)))
 
     return let(F.lower(F.hex(F.encode(word, "UTF-8"))), whole)
 
@@ -131,47 +131,75 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def folded_words(distinct: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, ids) for a table of distinct words."""
-    session(distinct)
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = library(path)
-        ids = [coder.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    size = F.octet_length("word")
-    short = distinct.where(size <= LONG).select("word", let(rank_map(path), lambda m: fold(F.col("word"), m)).alias("ids"))
-    return short.unionByName(in_arrow(distinct.where(size > LONG).select("word"), each, "word string, ids array<int>"))
-
-
-def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs with the ids of every text, as the tiktoken library would give them without special tokens."""
     docs = docs.drop(out, "_words")
+    names = docs.columns
     listed = docs.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
-    counts = listed.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.where(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(frequent).select("word")
-    known = {r["word"]: list(r["ids"]) for r in folded_words(top, path).toLocalIterator()}  # at most `frequent` short words
-    ranks, often = rank_map(path), dealt(known, "array<int>")
-    nothing = F.array().cast("array<int>")
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Ids of the words that no fold has taken, in place of an empty list."""
+    session(docs)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per chunk: its rows as an Arrow stream, the words of each as numbers, and the distinct words."""
+        rows: list[pa.RecordBatch] = []
+        tokens: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            coded = pa.concat_arrays(tokens).dictionary_encode()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema) as stream:
+                for r in rows:
+                    stream.write_batch(r)
+            kept = (sink.getvalue().to_pybytes(), np.concatenate(sizes).astype("<i4").tobytes(), np.asarray(coded.indices, "<i4").tobytes())
+            packed = [pa.array([zstandard.compress(x, 1)], pa.binary()) for x in kept]
+            distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
+            return pa.RecordBatch.from_arrays([*packed, distinct], ["rows", "sizes", "codes", "words"])
+
+        held = 0
+        for batch in batches:
+            lists = batch.column("_words")
+            rows.append(pa.RecordBatch.from_arrays([batch.column(n) for n in names], names))
+            tokens.append(lists.flatten())
+            sizes.append(np.diff(np.asarray(lists.offsets)))
+            held += tokens[-1].nbytes
+            if held >= chunk_bytes:
+                yield flush()
+                rows, tokens, sizes, held = [], [], [], 0
+        if rows:
+            yield flush()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each chunk with their ids."""
         coder = library(path)
-        rows = batch.column("_ids").to_pylist()
-        names = batch.column("_words").to_pylist()
-        ids = [[i for word, part in zip(w, parts, strict=True) for i in (part or coder.encode_ordinary(word))] for w, parts in zip(names, rows, strict=True)]
-        rest = [c for c in batch.schema.names if c not in ("_ids", "_words")]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(ids, pa.list_(pa.int32()))], [*rest, out])
-
-    def ids_of(word: Column, o: Column, r: Column) -> Column:
-        return F.coalesce(looked_up(o, word), F.when(F.octet_length(word) <= LONG, fold(word, r)).otherwise(nothing))
-
-    pieces = let(often, lambda o: let(ranks, lambda r: F.transform("_words", lambda w: ids_of(w, o, r))))
-    long = F.exists("_words", lambda w: F.octet_length(w) > LONG)
-    done = listed.where(~long).withColumn(out, F.flatten(pieces)).drop("_words")
-    schema = docs.withColumn(out, nothing).schema
-    return done.unionByName(in_arrow(listed.where(long).withColumn("_ids", pieces), each, schema))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                stream, sizes, codes = (zstandard.decompress(batch.column(c)[k].as_py()) for c in ("rows", "sizes", "codes"))
+                lists = batch.column("ids")[k].values
+                values, at = np.asarray(lists.flatten(), np.int32), np.diff(np.asarray(lists.offsets, np.int64))
+                if lists.null_count:  # words too long for the fold
+                    named = batch.column("words")[k].values
+                    parts = [coder.encode_ordinary(named[i].as_py()) if not lists[i].is_valid else lists[i].as_py() for i in range(len(lists))]
+                    values, at = np.array([x for p in parts for x in p], np.int32), np.array([len(p) for p in parts], np.int64)
+                first = np.cumsum(at) - at
+                sizes, codes = np.frombuffer(sizes, "<i4"), np.frombuffer(codes, "<i4")
+                ends, row = np.cumsum(sizes, dtype=np.int64), 0
+                for rows in pa.ipc.open_stream(stream):
+                    for a in range(0, rows.num_rows, 64):
+                        part = rows.slice(a, 64)
+                        low, high = ends[row] - sizes[row], ends[row + part.num_rows - 1]
+                        used = codes[low:high]
+                        n = at[used]
+                        total = np.concatenate([[0], np.cumsum(n)])
+                        ids = values[np.repeat(first[used] - total[:-1], n) + np.arange(total[-1])]
+                        cuts = total[np.concatenate([[0], ends[row : row + part.num_rows] - low])]
+                        column = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+                        yield pa.RecordBatch.from_arrays([*part.columns, column], [*names, out])
+                        row += part.num_rows
+
+    chunks = listed.mapInArrow(gather, "rows binary, sizes binary, codes binary, words array<string>")
+    ids = let(rank_map(path), lambda r: F.transform("words", lambda w: F.when(F.octet_length(w) <= LONG, fold(w, r))))
+    schema = docs.withColumn(out, F.array().cast("array<int>")).schema
+    return chunks.withColumn("ids", ids).mapInArrow(spread, schema)
 
 
 def decode_bytes(ids: np.ndarray, path: str = VOCABULARY) -> bytes:

@@ -18,6 +18,7 @@ BATCH_ROWS = 400
 def session(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark
 
 
