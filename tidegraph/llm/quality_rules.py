@@ -113,9 +113,15 @@ def verdict(mask: int) -> Column:
 
 
 def keep(docs: DataFrame, policy: int = CURRENT, text: str = "text") -> DataFrame:
-    """The documents that a policy keeps, with their own columns."""
+    """The documents that a policy keeps, with their own columns.
+
+    The verdict is a generator of one row or none: a filter would be pushed below the ledger, and every measurement
+    would be taken again for each rule that uses it.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    return ledger(rows, "_text").where(verdict(POLICIES[policy])).select("_row.*")
+    mask = F.lit(POLICIES[policy]).cast("long")
+    clean = F.filter(F.array("failed_bits"), lambda bits: bits.bitwiseAND(mask) == 0)
+    return ledger(rows, "_text").select("_row", F.explode(clean).alias("_bits")).select("_row.*")
 
 
 def ablations(ledger_rows: DataFrame, policies: dict[int, int] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
