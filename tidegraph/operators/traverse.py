@@ -237,7 +237,10 @@ def dfs(edges: DataFrame, start: str) -> DataFrame:
 
 
 def topological_sort(edges: DataFrame, starts: list[str], throw_on_cycle: bool = False) -> DataFrame:
-    """(position, node_id, has_cycle): Kahn's order over what starts reach, the smallest ready node first."""
+    """(position, node_id, has_cycle): Kahn's order over what starts reach, the smallest ready node first.
+
+    Nodes that a cycle holds back have no position.
+    """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         near, seen, todo = adjacency(pdf), set(starts), list(starts)
@@ -262,7 +265,9 @@ def topological_sort(edges: DataFrame, starts: list[str], throw_on_cycle: bool =
         cycle = len(order) < len(seen)
         if cycle and throw_on_cycle:
             raise GraphError("ERR_GRAPH_HAS_CYCLES", ", ".join(sorted(n for n in seen if degree[n])))
-        return pd.DataFrame({"position": range(len(order)), "node_id": order, "has_cycle": cycle})
+        left = sorted(n for n in seen if degree[n])
+        place = pd.array([*range(len(order)), *[None] * len(left)], "Int64")
+        return pd.DataFrame({"position": place, "node_id": order + left, "has_cycle": [cycle] * len(seen)})
 
     return local(edges, kernel, "position long, node_id string, has_cycle boolean")
 
