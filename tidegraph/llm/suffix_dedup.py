@@ -15,9 +15,8 @@ suffixes that are still together share LENGTH bytes, and intervals of two or mor
 Texts are shuffled once, by row; the exchange serves both the search and the removal. A record that occurs often is
 one row per batch in the shuffle by anchor. A task holds the distinct records of an anchor at once.
 
-Defined cases: a null or empty text has no bytes; matches never cross rows; rows that repeat doc_id and text are one
-document, so that a repeated row alone is no repeat, and each gets the result; a text of less than LENGTH bytes is
-kept; an empty table gives an empty table.
+Defined cases: a null or empty text has no bytes; matches never cross rows; every row is a document, so rows that
+repeat are each other's repeats; a text of less than LENGTH bytes is kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
