@@ -88,8 +88,8 @@ on_graph(
 )(lambda g: Query(g).match("part:*").where(F.size("edges_out") > 25).run())
 on_graph(
     "query_outgoing",
-    f"WITH {GRAPH} SELECT DISTINCT dst AS id FROM edges WHERE src LIKE 'order:1%' AND label = 'placed_by' ORDER BY 1",
-)(lambda g: Query(g).match("order:1*").outgoing("placed_by").run())
+    f"WITH {GRAPH} SELECT DISTINCT dst AS id FROM edges WHERE label = 'placed_by' ORDER BY 1",
+)(lambda g: Query(g).match("order:*").outgoing("placed_by").run())
 on_graph(
     "query_incoming",
     f"WITH {GRAPH} SELECT DISTINCT src AS id FROM edges WHERE dst IN ('nation:1', 'nation:2') AND label = 'in_nation' ORDER BY 1",
@@ -97,11 +97,11 @@ on_graph(
 on_graph(
     "query_multihop",
     f"""WITH RECURSIVE {GRAPH}, walk AS (
-      SELECT node_id, 0 AS d FROM nodes WHERE node_id LIKE 'customer:1%'
+      SELECT node_id, 0 AS d FROM nodes WHERE node_id LIKE 'customer:%'
       UNION SELECT e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.node_id WHERE w.d < 2),
     first AS (SELECT node_id, min(d) AS d FROM walk GROUP BY node_id)
     SELECT node_id AS id FROM first WHERE d BETWEEN 1 AND 2 ORDER BY 1""",
-)(lambda g: Query(g).match("customer:1*").outgoing(depth=(1, 2)).run())
+)(lambda g: Query(g).match("customer:*").outgoing(depth=(1, 2)).run())
 on_graph("query_select", f"WITH {GRAPH} SELECT node_id AS id FROM nodes WHERE node_id LIKE 'supplier:%' ORDER BY 1")(
     lambda g: Query(g).match("supplier:*").select(["id"])
 )
