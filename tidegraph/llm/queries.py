@@ -104,11 +104,45 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+OP3_SQL = r"""
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+g AS (SELECT r, i, md5(array_slice(b, i, i + 199)) AS h FROM n, unnest(range(1, n - 198)) AS t(i)),
+c AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM g WHERE h IN (SELECT h FROM c)),
+t AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM s),
+u AS (SELECT r, k, min(i) AS a, max(i) + 199 AS z FROM t GROUP BY r, k),
+v AS (SELECT r, a, z, lead(a) OVER (PARTITION BY r ORDER BY a) AS following FROM u),
+p AS (SELECT r, z + 1 AS s, coalesce(following - 1, n) AS e FROM v JOIN n USING (r) UNION ALL SELECT r, 1, min(a) - 1 FROM u GROUP BY r),
+q AS (SELECT r, string_agg(hex(array_slice(b, s, e)), '' ORDER BY s) AS x FROM p JOIN n USING (r) WHERE s <= e GROUP BY r),
+m AS (SELECT r, sum(z - a + 1)::BIGINT AS gone, count(*) AS spans FROM u GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN gone IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256
+FROM n LEFT JOIN m USING (r) LEFT JOIN q USING (r)
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.strip(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+f AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
+c AS (SELECT DISTINCT r, i + x AS j FROM g JOIN f USING (h), range(50) AS t(x) WHERE doc_id > low OR (doc_id IS NULL AND low IS NOT NULL)),
+k AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+m AS (
+  SELECT k.r, count(c.j) AS gone, string_agg(word, ' ' ORDER BY k.j) FILTER (WHERE c.j IS NULL) AS kept
+  FROM k LEFT JOIN c ON c.r = k.r AND c.j = k.j GROUP BY k.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN m USING (r)
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -211,6 +245,23 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_arrow(made, each, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, len(regexp_extract_all(role, '<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|\[\\*/ANSWER\]'))
+            + len(regexp_extract_all(text, '<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|\[\\*/ANSWER\]')) AS escapes
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(23 + CASE WHEN role = 'assistant' THEN 2 ELSE 0 END + length(role) + length(text) + escapes)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.group(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -228,4 +279,10 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op7_quality_rules": OP7_SQL}
+ORACLE_SQL = {
+    "op1_url_filter": OP1_SQL,
+    "op3_suffix_dedup": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op9_chat_format": OP9_SQL,
+}
