@@ -287,6 +287,21 @@ def test_simhash(spark, sf_dir, rows, empty):
     assert simhash_dedup.group(empty).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(4)]
+    one, two, three, four = texts
+    fps = [simhash_dedup.fingerprint(t) for t in texts]
+    assert links_of(fps) == [0, 1, 2, 3]  # unrelated
+    keep = lambda rows: sorted(((r["doc_id"], r["text"]) for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    first = lambda *x: sorted(x, key=str)
+    assert keep([(None, one), (None, two), (None, two)]) == first((None, one), (None, two))
+    # 7 names two texts: one stands for its component, the other is a copy of what 3 has
+    assert keep([(7, one), (7, two), (3, two), (9, one)]) == first((7, one), (3, two))
+    assert keep([(7, three), (7, four), (None, three), (7, four)]) == first((7, three), (7, four))
+    assert keep([(5, None), (5, ""), (None, " ")]) in ([(5, None)], [(5, "")])
+
+
 def test_links_are_whole(spark):
     rng = random.Random(5)
     fps = []

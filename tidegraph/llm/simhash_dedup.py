@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import in_arrow, session, strings, texts, written
@@ -53,15 +53,16 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit integer; and what `also` derives from doc_id and text."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t) for t in strings(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = texts(docs)
-    return in_arrow(rows, each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = texts(docs).select("*", *also)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    return in_arrow(rows, each, ", ".join([fields[0], "fp bigint", *fields[1:]]))
 
 
 # -- covering codes --------------------------------------------------------------------------------------------------
@@ -275,10 +276,17 @@ def group(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_name() -> Column:
+    """Tells rows of (doc_id, text) apart, null ids too; rows that repeat both are one. A null text is empty."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    return F.concat(text, F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit("")))
+
+
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The document with the smallest doc_id of every component, with all its columns; repeated rows stay one row."""
-    groups = group(docs, threshold)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("_kept"))
-    named = docs.withColumn("_kept", name)
-    return named.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
+    """One row of every component, with all its columns: the smallest by doc_id, nulls last, then by hash of the text."""
+    made = written(fingerprints(docs, row_name().alias("name")), "fingerprints")
+    roots = components(links(made, threshold))
+    classes = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"))
+    rooted = classes.join(roots, classes.fp == roots.node, "left")
+    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.name").alias("_kept"))
+    return docs.withColumn("_kept", row_name()).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
