@@ -165,6 +165,19 @@ def test_packing(spark, sf_dir, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_knows_added_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"hello {mark} there", mark, f"{mark}{mark}", f"a  {mark}\n\nb. C", f"don't{mark}'s 12{mark}é 😀", "<|endoftext| >", "<|ENDOFTEXT|>", f"x<|endof{mark}text|>", " \n "]
+    want = {i: [*own.encode(t, add_special_tokens=False).ids, packing.END_OF_DOCUMENT] for i, t in enumerate(texts)}
+    assert want[0][:-1] == [31373, 220, 50256, 612]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: (r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) for r in got} == {i: (0, len(x), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_cuts_are_the_cheapest():
     rng = random.Random(3)
     for _ in range(30):

@@ -15,6 +15,8 @@ many sequences as it needs; repeated rows are packed each for itself; an empty t
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,19 +41,31 @@ SCHEMA = (
 )
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the tokenizer file beside a rank file, which are matched in texts before anything else."""
+    beside = path.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    plain = all(not t[k] for t in found for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    assert plain, "only added tokens that match as they stand"
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder:
-    """The byte-level BPE of byte_bpe_50k.json: the rank file of the same vocabulary gives the same ids, faster."""
+    """The byte-level BPE of byte_bpe_50k.json, its added tokens included: the rank file gives the same ids, faster."""
 
     def __init__(self, path: str = VOCABULARY):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+        self.ends = np.zeros(self.bpe.max_token_value + 1, bool)
         for token, rank in ranks.items():
             self.ends[rank] = token.rstrip(b" ")[-1:] in b".!?\n" and bool(token.strip(b" "))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array([*self.bpe.encode_ordinary(text), END_OF_DOCUMENT], np.uint32)
+        return np.array([*self.bpe.encode(text, allowed_special="all"), END_OF_DOCUMENT], np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
