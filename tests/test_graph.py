@@ -135,3 +135,17 @@ def test_views(spark):
     page = observe.page(g, "x:1", 1)
     assert [tuple(r) for r in page.collect()] == [("x:1", "out", "x:2", "e")]
     assert [tuple(r) for r in observe.page(g, "x:1", 5, ("out", "x:2", "e")).collect()] == [("x:1", "out", "y:1", "e")]
+
+
+def test_the_bound_counts_reachable_edges_alone(spark, monkeypatch):
+    g = graph(spark, "ABCDEXYZ", ["A>B", "B>C", "D>C", "E>C", "X>Y", "Y>Z", "Z>X", "B>E"])
+    monkeypatch.setattr(traverse.local, "__defaults__", (4,))
+    assert [r["node_id"] for r in traverse.dfs(g.edges, "A").orderBy("position").collect()] == list("ABCE")
+    assert [r["node_id"] for r in traverse.topological_sort(g.edges, ["A"]).orderBy("position").collect()] == list("ABEC")
+    assert tuple(traverse.a_star(g.edges, "A", "C").first()) == (2.0, "A/B/C", 3)
+    assert tuple(traverse.bidirectional_a_star(g.edges, "A", "C").first()) == (2.0, "A/B/C")
+    # a start without edges is still a result
+    assert [tuple(r) for r in traverse.dfs(g.edges, "C").collect()] == [(0, "C")]
+    monkeypatch.setattr(traverse.local, "__defaults__", (3,))
+    with pytest.raises(traverse.GraphError):
+        traverse.dfs(g.edges, "A")

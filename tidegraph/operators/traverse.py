@@ -206,11 +206,24 @@ def bounded(edges: DataFrame, nodes: DataFrame, start: str, max_depth: int, max_
 # -- ordered algorithms over a bounded subgraph ----------------------------------------------------------------------
 
 
+def reached(edges: DataFrame, starts: list[str], direction: str = "out") -> DataFrame:
+    """The edges that a search from starts can take."""
+    rows = edges.sparkSession.createDataFrame([("all", n) for n in starts], "origin string, node_id string")
+    end = "src" if direction == "out" else "dst"
+    found = reach(directed(edges, direction), rows).select(F.col("node_id").alias(end))
+    return edges.join(found, end, "left_semi").select(*edges.columns)
+
+
 def local(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = MOST_LOCAL_EDGES) -> DataFrame:
-    """Run an ordered kernel over a subgraph's edges in one task; more than `most` edges raise E_MAX_EDGES_EXCEEDED."""
+    """Run an ordered kernel over a subgraph's edges in one task; more than `most` edges raise E_MAX_EDGES_EXCEEDED.
+
+    A row of nulls goes with them, so that the kernel runs where a start has no edges.
+    """
+    edges = written(edges.select("src", "dst"))
     if edges.limit(most + 1).count() > most:
         raise GraphError("E_MAX_EDGES_EXCEEDED", str(most))
-    return edges.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(kernel, schema)
+    none = edges.sparkSession.range(1).select(F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"))
+    return edges.union(none).withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(lambda pdf: kernel(pdf.dropna(subset=["src", "dst"])), schema)
 
 
 def adjacency(pdf: pd.DataFrame) -> dict[str, list[str]]:
@@ -233,7 +246,7 @@ def dfs(edges: DataFrame, start: str) -> DataFrame:
                 stack += reversed([x for x in near.get(node, []) if x not in seen])
         return pd.DataFrame({"position": range(len(order)), "node_id": order})
 
-    return local(edges, kernel, "position long, node_id string")
+    return local(reached(edges, [start]), kernel, "position long, node_id string")
 
 
 def topological_sort(edges: DataFrame, starts: list[str], throw_on_cycle: bool = False) -> DataFrame:
@@ -269,7 +282,7 @@ def topological_sort(edges: DataFrame, starts: list[str], throw_on_cycle: bool =
         place = pd.array([*range(len(order)), *[None] * len(left)], "Int64")
         return pd.DataFrame({"position": place, "node_id": order + left, "has_cycle": [cycle] * len(seen)})
 
-    return local(edges, kernel, "position long, node_id string, has_cycle boolean")
+    return local(reached(edges, starts), kernel, "position long, node_id string, has_cycle boolean")
 
 
 def a_star(edges: DataFrame, start: str, goal: str, weights: dict[tuple[str, str], float] | None = None, heuristic: Callable[[str], float] = lambda n: 0.0) -> DataFrame:
@@ -297,7 +310,7 @@ def a_star(edges: DataFrame, start: str, goal: str, weights: dict[tuple[str, str
                     heapq.heappush(heap, (new + heuristic(b), b))
         return pd.DataFrame({"cost": [float("nan")], "path": [""], "explored": [explored]})
 
-    return local(edges, kernel, "cost double, path string, explored long")
+    return local(reached(edges, [start]), kernel, "cost double, path string, explored long")
 
 
 def bidirectional_a_star(edges: DataFrame, start: str, goal: str, weights: dict[tuple[str, str], float] | None = None) -> DataFrame:
@@ -336,4 +349,4 @@ def bidirectional_a_star(edges: DataFrame, start: str, goal: str, weights: dict[
             halves.append(part)
         return pd.DataFrame({"cost": [least], "path": ["/".join(halves[0][::-1] + halves[1][1:])]})
 
-    return local(edges, kernel, "cost double, path string")
+    return local(reached(reached(edges, [start]), [goal], "in"), kernel, "cost double, path string")
