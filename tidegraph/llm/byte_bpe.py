@@ -1,45 +1,80 @@
 """Byte-level BPE as folds of Spark's higher-order functions.
 
-A word starts as the array of its bytes. A fold merges, step by step, the neighbours whose concatenation has the
-lowest rank (the leftmost among equals) until no concatenation is ranked. The ranks are a literal of the plan: an
-array of small maps, dealt out by checksum, since a lookup in one of Spark's maps scans its keys. Each step renews the
-two ranks beside the merge alone.
-
-The corpus is cut into words by the tokenizer's pattern. A task gathers texts into chunks of a fixed number of bytes,
-numbers the distinct words of each, folds each of them once, and puts the ids in place of the numbers. Chunks bound the
-memory; nothing is shuffled, and a lost executor costs only its own tasks. Words of more than LONG bytes, for which
-steps times neighbours would grow with the square of the length, are folded by the tiktoken library in an Arrow batch.
-
-Decoding concatenates the binary pieces of the ids.
-
-Defined cases: a null or empty text has no ids; ids outside the vocabulary decode to nothing; repeated rows are
-encoded each for itself; an empty table gives an empty table.
+A word starts as the array of its bytes, each an id. A fold merges, step by step, the neighbours whose concatenation
+has the lowest rank (the leftmost among equals) until no concatenation is ranked. The ranks are a literal of the plan:
+a table of all pairs of ids whose concatenation is a piece, without collisions, so that a look-up is arithmetic and two
+array reads. A step renews the two ranks beside the merge alone.
+
+In a word of more than LONG bytes a step merges all neighbours of the lowest rank at once, from left to right. That
+gives the same ids: every piece folds to itself, so a merge of rank r never makes a pair of a rank below r (whose piece
+would have been folded before, inside the same bounds). Steps then grow with the ranks that the word uses and not with
+its length.
+
+The corpus is cut into words by the tokenizer's pattern. A task gathers texts into chunks of a fixed number of bytes
+and numbers their distinct words; the numbers go on from chunk to chunk, so a word is folded once until MOST_WORDS of
+them are known and numbering starts anew. Both bounds are on memory alone. Ids are put in place of the numbers after
+the fold. Nothing is shuffled, and a lost executor costs only its own tasks.
+
+Decoding concatenates the pieces of the ids.
+
+Defined cases: a null or empty text has no ids; null ids and ids outside the vocabulary decode to nothing; repeated
+rows are encoded each for itself; an empty table gives an empty table; a column named as the result is replaced, all
+others stay as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import in_arrow, session
+from tidegraph.llm.common import session
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+# Code points that Unicode 14 to 16 made letters and digits, which the tokenizer library knows and the
+# expressions of Java 17 don't.
+NEW_LETTERS = (
+    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 "
+    "A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC "
+    "105C0-105F3 10780-10785 10787-107B0 107B2-107BA 10D4A-10D65 10D6F-10D85 10EC2-10EC4 10F70-10F81 11071-11072 11075 "
+    "1123F-11240 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11740-11746 11AB0-11ABF 11BC0-11BE0 11F02 "
+    "11F04-11F10 11F12-11F33 12F90-12FF0 1342F 13441-13446 13460-143FA 16100-1611D 16A70-16ABE 16D40-16D6C 18CFF "
+    "1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132 1B155 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD "
+    "1E4D0-1E4EB 1E5D0-1E5ED 1E5F0 1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D "
+    "31350-323AF"
+)
+NEW_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3 1E4F0-1E4F9 1E5F1-1E5FA"
+
+
+def _among(ranges: str) -> str:
+    """A class of these code points, behind one comparison that most characters fail."""
+    spans = [r.split("-") for r in ranges.split()]
+    listed = "".join(f"\\x{{{s[0]}}}-\\x{{{s[-1]}}}" for s in spans)
+    return f"[[\\x{{{spans[0][0]}}}-\\x{{{spans[-1][-1]}}}]&&[{listed}]]"
+
+
 #: The tokenizer's pattern for Java: (?U) makes white space that of Unicode.
-PATTERN = "(?U)" + public_tokenizers.PATTERN
-#: Bytes of words in one chunk, offsets included, and of the longest word that is folded.
-CHUNK_BYTES = 48 << 20
-LONG = 128
+PATTERN = "(?U)" + (
+    public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", "[^@]")
+    .replace(r"\p{L}", "[" + r"\p{L}" + _among(NEW_LETTERS) + "]")
+    .replace(r"\p{N}", "[" + r"\p{N}" + _among(NEW_DIGITS) + "]")
+    .replace("[^@]", r"[^\s\p{L}\p{N}" + _among(NEW_LETTERS) + _among(NEW_DIGITS) + "]")
+)
+#: Bytes of words in one chunk, offsets included, and of the longest word that is folded merge by merge.
+CHUNK_BYTES, LONG = 4 << 20, 64
+#: Distinct words that a task knows at once.
+MOST_WORDS = 1 << 19
+#: Moduli of the rank table: of the first look-up, of the second, and the table's size.
+GROUPS, SPREAD, SLOTS = 32749, 262139, 1 << 18
 
 
 @lru_cache(4)
@@ -51,24 +86,32 @@ def vocabulary(path: str = VOCABULARY) -> tuple[bytes, ...]:
 
 
 @lru_cache(4)
-def library(path: str = VOCABULARY) -> tiktoken.Encoding:
+def _table(path: str) -> str:
+    """JSON of the rank table: `bytes` the id of each byte, `shift` by group, `slot` with pair and rank in one number."""
     ranks = {piece: i for i, piece in enumerate(vocabulary(path)) if piece}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
+    assert len(ranks) < 1 << 16, "ids take 16 bits"
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                key = left << 16 | right
+                groups.setdefault(key % GROUPS, []).append((key, rank))
+    shift, slot = [0] * GROUPS, [-1] * SLOTS
+    for group, entries in sorted(groups.items(), key=lambda g: -len(g[1])):  # the fullest first, while there is room
+        places = [key % SPREAD for key, _ in entries]
+        assert len(set(places)) == len(places)
+        begin = group * 40503 % SLOTS  # anywhere, so that the search seldom meets what earlier groups filled
+        move = next(m for m in chain(range(begin, SLOTS), range(begin)) if all(slot[(p + m) % SLOTS] < 0 for p in places))
+        shift[group] = move
+        for (key, rank), p in zip(entries, places, strict=True):
+            slot[(p + move) % SLOTS] = key << 16 | rank
+    return json.dumps({"bytes": [ranks[bytes([b])] for b in range(256)], "shift": shift, "slot": slot}, separators=(",", ":"))
 
-def dealt(entries: dict[str, object], kind: str) -> Column:
-    """A literal array of maps, as many as a power of two; key k is in the map numbered crc32(k) modulo their number."""
-    size = 1 << max(4, len(entries).bit_length())
-    maps: list[dict] = [{} for _ in range(size)]
-    for key, value in entries.items():
-        maps[zlib.crc32(key.encode()) & (size - 1)][key] = value
-    text = json.dumps(maps, ensure_ascii=False, separators=(",", ":"))
-    return F.from_json(F.lit(text), f"array<map<string,{kind}>>")
 
-
-def looked_up(maps: Column, key: Column) -> Column:
-    place = F.crc32(key.cast("binary")).bitwiseAND((F.size(maps) - 1).cast("long")).cast("int")
-    return F.element_at(F.get(maps, place), key)
+def rank_map(path: str = VOCABULARY) -> Column:
+    """The literal rank map of a vocabulary."""
+    return F.from_json(F.lit(_table(path)), "bytes array<int>, shift array<int>, slot array<bigint>")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,89 +119,112 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@lru_cache(4)
-def _ranks(path: str) -> dict[str, int]:
-    return {piece.hex(): i for i, piece in enumerate(vocabulary(path)) if piece}
+def ranked(ranks: Column, left: Column, right: Column) -> Column:
+    """The rank of the concatenation of two ids, which is its id; null where there is none."""
 
+    def at(key: Column) -> Column:
+        place = (key % SPREAD + F.get(ranks["shift"], (key % GROUPS).cast("int"))) % SLOTS
+        return let(F.get(ranks["slot"], place.cast("int")), lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(65535).cast("int")))
 
-def rank_map(path: str = VOCABULARY) -> Column:
-    return dealt(_ranks(path), "int")
+    return let(F.shiftleft(left.cast("long"), 16).bitwiseOR(right.cast("long")), at)
 
 
 def fold(word: Column, ranks: Column) -> Column:
-    """array<int>: the ids of one word; a word that is a piece itself is not folded.
+    """array<int>: the ids of one word, an array of its bytes as signed numbers.
 
-    Pieces are stretches of the word's hexadecimal digits, given by their bounds b; r holds the rank of each piece with
-    the next one, null where there is none. A merge drops one bound and one rank, and renews the ranks on its sides.
+    t holds the ids between two ends that are no ids (null); r the rank of each pair of neighbours, null where there is none.
     """
+    end = F.array(F.lit(None).cast("int"))
+
+    def begin(t: Column) -> Column:
+        r = F.transform(F.slice(t, 1, F.size(t) - 1), lambda x, i: ranked(ranks, x, F.get(t, i + 1)))
+        return F.struct(t.alias("t"), r.alias("r"))
 
-    def whole(digits: Column) -> Column:
-        n = (F.length(digits) / 2).cast("int")
+    def merge(s: Column, _: Column) -> Column:
+        """The leftmost pair of the lowest rank becomes one id."""
 
-        def rank(start: Column, end: Column) -> Column:
-            return looked_up(ranks, F.substring(digits, start, end - start))
+        def pair(low: Column) -> Column:
+            def put(j: Column) -> Column:
+                t, r, rest = s["t"], s["r"], F.size(s["t"])
+                sides = F.array(ranked(ranks, F.get(t, j - 2), low), ranked(ranks, low, F.get(t, j + 1)))
+                return F.struct(
+                    F.concat(F.slice(t, F.lit(1), j - 1), F.array(low), F.slice(t, j + 2, rest)).alias("t"),
+                    F.concat(F.slice(r, F.lit(1), j - 2), sides, F.slice(r, j + 2, rest)).alias("r"),
+                )
 
-        def begin(b: Column) -> Column:
-            r = F.transform(F.slice(b, 1, F.greatest(n - 1, F.lit(0))), lambda x: rank(x, x + 4))
-            return F.struct(b.alias("b"), r.alias("r"))
+            return F.when(low.isNull(), s).otherwise(let(F.array_position(s["r"], low).cast("int"), put))
 
-        def merge(s: Column, j: Column) -> Column:
-            def put(b: Column) -> Column:
-                left = F.filter(s["r"], lambda _, i: i != j)
-                fresh = F.transform(left, lambda x, i: F.when((i == j) | (i == j - 1), rank(F.get(b, i), F.get(b, i + 2))).otherwise(x))
-                return F.struct(b.alias("b"), fresh.alias("r"))
+        return let(F.array_min(s["r"]), pair)
 
-            return let(F.filter(s["b"], lambda _, i: i != j + 1), put)
+    def sweep(s: Column, _: Column) -> Column:
+        """All pairs of the lowest rank become one id each; of pairs that overlap, every other one from the left."""
 
-        def step(s: Column, _: Column) -> Column:
-            def lowest(low: Column) -> Column:
-                place = F.array_position(s["r"], low).cast("int") - 1  # the leftmost of equals
-                return F.when(low.isNull(), s).otherwise(let(place, lambda j: merge(s, j)))
+        def put(chosen: Column) -> Column:
+            t = F.transform(s["t"], lambda x, i: F.when(F.get(chosen, i) == "1", s["low"]).when((i > 0) & (F.get(chosen, i - 1) == "1"), F.lit(-1)).otherwise(x))
+            return let(F.filter(t, lambda x: x.isNull() | (x >= 0)), renew)
 
-            return let(F.array_min(s["r"]), lowest)
+        def flags() -> Column:
+            return F.array_join(F.transform(s["r"], lambda x: F.when(x == s["low"], "1").otherwise("0")), "")
 
-        def ids(s: Column) -> Column:
-            return F.transform(F.slice(s["b"], 1, F.size(s["b"]) - 1), lambda x, i: rank(x, F.get(s["b"], i + 1)))
+        return F.when(s["low"].isNull(), s).otherwise(let(F.split(F.regexp_replace(flags(), "11", "10"), ""), put))
 
-        bounds = F.transform(F.sequence(F.lit(0), n), lambda i: i * 2 + 1)
-        folded = F.reduce(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), let(bounds, begin), step, ids)
-        return let(looked_up(ranks, digits), lambda own: F.when(own.isNotNull(), F.array(own)).when(n > 0, folded).otherwise(F.slice(F.array(own), 1, 0)))
+    def renew(t: Column) -> Column:
+        return let(begin(t), lambda s: F.struct(s["t"].alias("t"), s["r"].alias("r"), F.array_min(s["r"]).alias("low")))
 
-    return let(F.lower(F.hex(F.encode(word, "UTF-8"))), whole)
+    def ids(s: Column) -> Column:
+        return F.slice(s["t"], 2, F.size(s["t"]) - 2)
+
+    def whole(t: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.size(t))
+        return F.when(F.size(t) <= LONG + 2, F.reduce(steps, let(t, begin), merge, ids)).otherwise(F.reduce(steps, renew(t), sweep, ids))
+
+    return let(F.concat(end, F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int").bitwiseAND(255))), end), whole)
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs with the ids of every text, as the tiktoken library would give them without special tokens."""
-    docs = docs.drop(out, "_words")
-    names = docs.columns
-    listed = docs.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
+def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES, most_words: int = MOST_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """docs (of them the columns in keep, if given) with the ids of every text, as the tiktoken library would give them without special tokens."""
+    names = [c for c in (docs.columns if keep is None else keep) if c != out]
+    cut = "words"
+    while cut in names:
+        cut += "_"
+    kept = docs.select(*names)
+    listed = docs.select(*names, words(F.coalesce(F.col(text), F.lit(""))).alias(cut))
     session(docs)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per chunk: its rows as an Arrow stream, the words of each as numbers, and the distinct words."""
+        """One row per chunk: its rows as an Arrow stream, the words of each as numbers, and the bytes of new words."""
+        known: dict[str, int] = {}
         rows: list[pa.RecordBatch] = []
         tokens: list[pa.Array] = []
         sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             coded = pa.concat_arrays(tokens).dictionary_encode()
+            found = coded.dictionary.to_pylist()
+            if len(known) + len(found) > most_words:
+                known.clear()
+            anew, first = not known, len(known)
+            numbers = np.array([known.setdefault(w, len(known)) for w in found], np.int32)
+            fresh = coded.dictionary.take(pa.array(np.flatnonzero(numbers >= first))).cast(pa.binary())
+            _, offsets, data = fresh.buffers()
+            spelt = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(fresh) + 1, [None, offsets]), pa.Array.from_buffers(pa.int8(), data.size if data else 0, [None, data]))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema) as stream:
                 for r in rows:
                     stream.write_batch(r)
-            kept = (sink.getvalue().to_pybytes(), np.concatenate(sizes).astype("<i4").tobytes(), np.asarray(coded.indices, "<i4").tobytes())
-            packed = [pa.array([zstandard.compress(x, 1)], pa.binary()) for x in kept]
-            distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
-            return pa.RecordBatch.from_arrays([*packed, distinct], ["rows", "sizes", "codes", "words"])
+            codes = numbers[np.asarray(coded.indices)] if len(found) else np.zeros(0, np.int32)
+            parts = (sink.getvalue().to_pybytes(), np.concatenate(sizes).astype("<i4").tobytes(), codes.astype("<i4").tobytes())
+            chunk = pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt)
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in parts), pa.array([anew]), chunk], ["rows", "sizes", "codes", "anew", "words"])
 
         held = 0
         for batch in batches:
-            lists = batch.column("_words")
-            rows.append(pa.RecordBatch.from_arrays([batch.column(n) for n in names], names))
+            lists = batch.column(cut)
+            rows.append(pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))], names))
             tokens.append(lists.flatten())
             sizes.append(np.diff(np.asarray(lists.offsets)))
             held += tokens[-1].nbytes
@@ -170,16 +236,14 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each chunk with their ids."""
-        coder = library(path)
+        values, at = np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                stream, sizes, codes = (zstandard.decompress(batch.column(c)[k].as_py()) for c in ("rows", "sizes", "codes"))
+                stream, sizes, codes = (batch.column(c)[k].as_buffer() for c in ("rows", "sizes", "codes"))
                 lists = batch.column("ids")[k].values
-                values, at = np.asarray(lists.flatten(), np.int32), np.diff(np.asarray(lists.offsets, np.int64))
-                if lists.null_count:  # words too long for the fold
-                    named = batch.column("words")[k].values
-                    parts = [coder.encode_ordinary(named[i].as_py()) if not lists[i].is_valid else lists[i].as_py() for i in range(len(lists))]
-                    values, at = np.array([x for p in parts for x in p], np.int32), np.array([len(p) for p in parts], np.int64)
+                fresh = np.asarray(lists.flatten(), np.int32), np.diff(np.asarray(lists.offsets, np.int64))
+                anew = batch.column("anew")[k].as_py()
+                values, at = fresh if anew else (np.concatenate([values, fresh[0]]), np.concatenate([at, fresh[1]]))
                 first = np.cumsum(at) - at
                 sizes, codes = np.frombuffer(sizes, "<i4"), np.frombuffer(codes, "<i4")
                 ends, row = np.cumsum(sizes, dtype=np.int64), 0
@@ -196,25 +260,27 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
                         yield pa.RecordBatch.from_arrays([*part.columns, column], [*names, out])
                         row += part.num_rows
 
-    chunks = listed.mapInArrow(gather, "rows binary, sizes binary, codes binary, words array<string>")
-    ids = let(rank_map(path), lambda r: F.transform("words", lambda w: F.when(F.octet_length(w) <= LONG, fold(w, r))))
-    schema = docs.withColumn(out, F.array().cast("array<int>")).schema
-    return chunks.withColumn("ids", ids).mapInArrow(spread, schema)
+    chunks = listed.mapInArrow(gather, "rows binary, sizes binary, codes binary, anew boolean, words array<array<tinyint>>")
+    ids = let(rank_map(path), lambda r: F.transform("words", lambda w: fold(w, r)))
+    schema = kept.withColumn(out, F.array().cast("array<int>")).schema
+    return chunks.select("rows", "sizes", "codes", "anew", ids.alias("ids")).mapInArrow(spread, schema)
 
 
-def decode_bytes(ids: np.ndarray, path: str = VOCABULARY) -> bytes:
-    pieces = vocabulary(path)
-    n = len(pieces)
-    return b"".join([pieces[i] if 0 <= i < n else b"" for i in ids.tolist()])
+def binary(ids: Column, pieces: list[bytes]) -> Column:
+    """The concatenation of a piece for each id."""
+    listed = F.from_json(F.lit(json.dumps([p.hex() for p in pieces], separators=(",", ":"))), "array<string>")
+    return F.unhex(let(listed, lambda p: F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get(p, i)), "")))
 
 
-def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
-    """rows with the bytes that their ids stand for."""
-    rows = rows.drop(out)
+def decoded(ids: Column, path: str = VOCABULARY) -> Column:
+    return binary(ids, list(vocabulary(path)))
+
+
+def as_integers(ids: Column, path: str = VOCABULARY) -> Column:
+    """The ids as little-endian unsigned 32-bit integers."""
+    return binary(ids, [i.to_bytes(4, "little") for i in range(len(vocabulary(path)))])
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(ids)
-        found = [decode_bytes(np.asarray(x.values if x.is_valid else [], np.int64), path) for x in lists]
-        return batch.append_column(out, pa.array(found, pa.binary()))
 
-    return in_arrow(rows, each, rows.withColumn(out, F.lit(b"")).schema)
+def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
+    """rows with the bytes that their ids stand for."""
+    return rows.withColumn(out, decoded(F.col(ids), path))

@@ -148,17 +148,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs).select("doc_id", "ids"))
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for doc_id, ids, text in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("decoded").to_pylist(), strict=True):
-            flat = np.asarray(ids.values, "<u4")
-            out.append((doc_id, len(flat), hashlib.sha256(flat.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return in_arrow(decoded, each, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    ids = F.col("ids")
+    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+    return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(byte_bpe.as_integers(ids), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
