@@ -12,8 +12,9 @@ its length.
 
 The corpus is cut into words by the tokenizer's pattern. A task gathers texts into chunks of a fixed number of bytes
 and numbers their distinct words; the numbers go on from chunk to chunk, so a word is folded once until MOST_WORDS of
-them are known and numbering starts anew. Both bounds are on memory alone. Ids are put in place of the numbers after
-the fold. Nothing is shuffled, and a lost executor costs only its own tasks.
+them are known and numbering starts anew. Both bounds are on memory alone. The most frequent words of a bounded sample
+are folded beforehand and known to all tasks. Ids are put in place of the numbers after the fold. No text is shuffled,
+and a lost executor costs only its own tasks.
 
 Decoding concatenates the pieces of the ids.
 
@@ -33,6 +34,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +75,12 @@ PATTERN = "(?U)" + (
 CHUNK_BYTES, LONG = 4 << 20, 64
 #: Distinct words that a task knows at once.
 MOST_WORDS = 1 << 19
+#: Rows, about, of the sample that frequent words come from, and the words that all tasks know from the start.
+SAMPLE_ROWS, COMMON_WORDS = 1 << 14, 1 << 18
 #: Moduli of the rank table: of the first look-up, of the second, and the table's size.
 GROUPS, SPREAD, SLOTS = 32749, 262139, 1 << 18
+#: No rank, and no id; what an empty slot holds.
+NONE, EMPTY = (1 << 16) - 1, 1 << 62
 
 
 @lru_cache(4)
@@ -89,7 +95,7 @@ def vocabulary(path: str = VOCABULARY) -> tuple[bytes, ...]:
 def _table(path: str) -> str:
     """JSON of the rank table: `bytes` the id of each byte, `shift` by group, `slot` with pair and rank in one number."""
     ranks = {piece: i for i, piece in enumerate(vocabulary(path)) if piece}
-    assert len(ranks) < 1 << 16, "ids take 16 bits"
+    assert len(vocabulary(path)) <= NONE, "ids take 16 bits"
     groups: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
@@ -97,12 +103,12 @@ def _table(path: str) -> str:
             if left is not None and right is not None:
                 key = left << 16 | right
                 groups.setdefault(key % GROUPS, []).append((key, rank))
-    shift, slot = [0] * GROUPS, [-1] * SLOTS
+    shift, slot = [0] * GROUPS, [EMPTY] * SLOTS
     for group, entries in sorted(groups.items(), key=lambda g: -len(g[1])):  # the fullest first, while there is room
         places = [key % SPREAD for key, _ in entries]
         assert len(set(places)) == len(places)
         begin = group * 40503 % SLOTS  # anywhere, so that the search seldom meets what earlier groups filled
-        move = next(m for m in chain(range(begin, SLOTS), range(begin)) if all(slot[(p + m) % SLOTS] < 0 for p in places))
+        move = next(m for m in chain(range(begin, SLOTS), range(begin)) if all(slot[(p + m) % SLOTS] == EMPTY for p in places))
         shift[group] = move
         for (key, rank), p in zip(entries, places, strict=True):
             slot[(p + move) % SLOTS] = key << 16 | rank
@@ -111,81 +117,125 @@ def _table(path: str) -> str:
 
 def rank_map(path: str = VOCABULARY) -> Column:
     """The literal rank map of a vocabulary."""
-    return F.from_json(F.lit(_table(path)), "bytes array<int>, shift array<int>, slot array<bigint>")
+    return F.from_json(F.lit(_table(path)), "bytes array<bigint>, shift array<int>, slot array<bigint>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once; for a literal, with one copy of it in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: Column, body: Callable[[Column], Column], kind: str) -> Column:
+    """body(value), of that type, with value evaluated once; for a literal, with one copy of it in the plan.
 
+    Spark's array functions ask for the types of their arguments at each evaluation, and an expression derives its type
+    from its parts; a lambda's variable knows it. So what goes into them is bound to variables first.
+    """
+    return F.reduce(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
-def ranked(ranks: Column, left: Column, right: Column) -> Column:
-    """The rank of the concatenation of two ids, which is its id; null where there is none."""
-
-    def at(key: Column) -> Column:
-        place = (key % SPREAD + F.get(ranks["shift"], (key % GROUPS).cast("int"))) % SLOTS
-        return let(F.get(ranks["slot"], place.cast("int")), lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(65535).cast("int")))
 
-    return let(F.shiftleft(left.cast("long"), 16).bitwiseOR(right.cast("long")), at)
+STATE, IDS = "array<bigint>", "array<int>"
 
 
 def fold(word: Column, ranks: Column) -> Column:
     """array<int>: the ids of one word, an array of its bytes as signed numbers.
 
-    t holds the ids between two ends that are no ids (null); r the rank of each pair of neighbours, null where there is none.
+    The state is an array of numbers, an id in the low 16 bits of each and above them the rank of its pair with the next
+    one, NONE where there is no such piece. Two ids that no piece has, NONE, stand at the ends.
     """
-    end = F.array(F.lit(None).cast("int"))
+    low16 = lambda x: x.bitwiseAND(F.lit(NONE).cast("long"))
+    end = F.array(F.lit(NONE).cast("long"))
+
+    def pair(left: Column, right: Column) -> Column:
+        return F.shiftleft(left, 16).bitwiseOR(right)
+
+    def ranked(pairs: Column) -> Column:
+        """The state's numbers of these pairs: what else than the pair itself is in a slot makes it larger than any rank."""
+
+        def number(key: Column) -> Column:
+            place = (key % SPREAD + F.get(ranks["shift"], (key % GROUPS).cast("int"))) % SLOTS
+            rank = F.least(F.get(ranks["slot"], place.cast("int")).bitwiseXOR(F.shiftleft(key, 16)), F.lit(NONE).cast("long"))
+            return F.shiftleft(rank, 16).bitwiseOR(F.shiftright(key, 16))
+
+        return F.transform(pairs, number)
 
     def begin(t: Column) -> Column:
-        r = F.transform(F.slice(t, 1, F.size(t) - 1), lambda x, i: ranked(ranks, x, F.get(t, i + 1)))
-        return F.struct(t.alias("t"), r.alias("r"))
+        return ranked(F.transform(t, lambda x, i: pair(x, F.coalesce(F.get(t, i + 1), F.lit(NONE).cast("long")))))
 
     def merge(s: Column, _: Column) -> Column:
-        """The leftmost pair of the lowest rank becomes one id."""
+        """The leftmost pair of the lowest rank becomes one id; where there is none, the first end becomes -1, and s stays so."""
 
-        def pair(low: Column) -> Column:
-            def put(j: Column) -> Column:
-                t, r, rest = s["t"], s["r"], F.size(s["t"])
-                sides = F.array(ranked(ranks, F.get(t, j - 2), low), ranked(ranks, low, F.get(t, j + 1)))
-                return F.struct(
-                    F.concat(F.slice(t, F.lit(1), j - 1), F.array(low), F.slice(t, j + 2, rest)).alias("t"),
-                    F.concat(F.slice(r, F.lit(1), j - 2), sides, F.slice(r, j + 2, rest)).alias("r"),
-                )
+        def put(first: Column) -> Column:
+            rank, j = F.shiftright(first, 16), low16(first).cast("int")
+            sides = F.array(pair(low16(F.get(s, j - 1)), rank), pair(rank, low16(F.get(s, j + 2))))
+            joined = F.array(F.slice(s, F.lit(1), j - 1), ranked(sides), F.slice(s, j + 3, F.size(s)))
+            done = F.array(F.array(F.lit(-1).cast("long")), F.slice(s, F.lit(2), F.size(s)))
+            return let(F.when(first >= NONE << 16, done).otherwise(joined), F.flatten, STATE)
 
-            return F.when(low.isNull(), s).otherwise(let(F.array_position(s["r"], low).cast("int"), put))
-
-        return let(F.array_min(s["r"]), pair)
+        places = F.transform(s, lambda x, i: x.bitwiseAND(F.lit(NONE << 16)).bitwiseOR(i.cast("long")))
+        lowest = let(places, F.array_min, "bigint")
+        return F.when(F.get(s, F.lit(0)) < 0, s).otherwise(let(lowest, put, STATE))
 
     def sweep(s: Column, _: Column) -> Column:
         """All pairs of the lowest rank become one id each; of pairs that overlap, every other one from the left."""
 
-        def put(chosen: Column) -> Column:
-            t = F.transform(s["t"], lambda x, i: F.when(F.get(chosen, i) == "1", s["low"]).when((i > 0) & (F.get(chosen, i - 1) == "1"), F.lit(-1)).otherwise(x))
-            return let(F.filter(t, lambda x: x.isNull() | (x >= 0)), renew)
-
-        def flags() -> Column:
-            return F.array_join(F.transform(s["r"], lambda x: F.when(x == s["low"], "1").otherwise("0")), "")
+        def put(rank: Column) -> Column:
+            flags = F.array_join(F.transform(s, lambda x: F.when(F.shiftright(x, 16) == rank, "1").otherwise("0")), "")
+            chosen = F.split(F.regexp_replace(flags, "11", "10"), "")
+            return F.when(rank >= NONE, s).otherwise(let(chosen, renew, STATE))
 
-        return F.when(s["low"].isNull(), s).otherwise(let(F.split(F.regexp_replace(flags(), "11", "10"), ""), put))
+        def renew(chosen: Column) -> Column:
+            ids = F.transform(s, lambda x, i: F.when(F.get(chosen, i) == "1", F.shiftright(x, 16)).when((i > 0) & (F.get(chosen, i - 1) == "1"), F.lit(-1).cast("long")).otherwise(low16(x)))
+            return let(F.filter(ids, lambda x: x >= 0), begin, STATE)
 
-    def renew(t: Column) -> Column:
-        return let(begin(t), lambda s: F.struct(s["t"].alias("t"), s["r"].alias("r"), F.array_min(s["r"]).alias("low")))
+        return let(F.shiftright(F.array_min(s), 16), put, STATE)
 
     def ids(s: Column) -> Column:
-        return F.slice(s["t"], 2, F.size(s["t"]) - 2)
+        return F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: low16(x).cast("int"))
 
     def whole(t: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.size(t))
-        return F.when(F.size(t) <= LONG + 2, F.reduce(steps, let(t, begin), merge, ids)).otherwise(F.reduce(steps, renew(t), sweep, ids))
+        steps = lambda: F.sequence(F.lit(1), F.greatest(F.size(t) - 3, F.lit(1)))
+        return F.when(F.size(t) <= LONG + 2, F.reduce(steps(), begin(t), merge, ids)).otherwise(F.reduce(steps(), begin(t), sweep, ids))
 
-    return let(F.concat(end, F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int").bitwiseAND(255))), end), whole)
+    return let(F.flatten(F.array(end, F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int").bitwiseAND(255))), end)), whole, IDS)
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES, most_words: int = MOST_WORDS, keep: list[str] | None = None) -> DataFrame:
+def common(docs: DataFrame, text: str, path: str, rows: int, most: int) -> tuple[pa.Array, pa.Array]:
+    """The most frequent words of a sample of about that many rows, and their ids: what all tasks would fold otherwise.
+
+    The sample decides what is folded beforehand and nothing else; both its rows and its words are bounded.
+    """
+    n = docs.count()
+    if n <= rows:  # a table of this size has no more words than the sample
+        return pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+    sample = docs.select(text).sample(rows / n, seed=1)
+    word = F.col("word")
+    counted = sample.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("word")).where(F.octet_length(word) <= LONG).groupBy("word").count()
+    listed = counted.orderBy(F.desc("count"), "word").limit(most).select("word").groupBy((F.crc32(word.cast("binary")) % 64).alias("part")).agg(F.collect_list("word").alias("listed"))
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("listed")
+            yield pa.RecordBatch.from_arrays([lists, pa.ListArray.from_arrays(lists.offsets, of_bytes(lists.values))], ["listed", "spelt"])
+
+    ids = let(rank_map(path), lambda r: F.transform("spelt", lambda w: fold(w, r)), f"array<{IDS}>")
+    found = listed.select("listed").mapInArrow(spelt, "listed array<string>, spelt array<array<tinyint>>").select("listed", ids.alias("ids")).toArrow().combine_chunks()
+    flat = [found.column(c).combine_chunks() for c in ("listed", "ids")]
+    return tuple((c.chunk(0) if isinstance(c, pa.ChunkedArray) else c).flatten() for c in flat)
+
+
+def of_bytes(strings: pa.Array) -> pa.Array:
+    """The bytes of each string, as lists of signed numbers."""
+    strings = pa.concat_arrays([strings.cast(pa.binary())])
+    _, offsets, data = strings.buffers()
+    if strings.offset or not len(strings):
+        return pa.array([np.frombuffer(x.as_py(), np.int8) for x in strings], pa.list_(pa.int8()))
+    return pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(strings) + 1, [None, offsets]), pa.Array.from_buffers(pa.int8(), data.size, [None, data]))
+
+
+def encode(
+    docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES, most_words: int = MOST_WORDS,
+    keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS, common_words: int = COMMON_WORDS,
+) -> DataFrame:
     """docs (of them the columns in keep, if given) with the ids of every text, as the tiktoken library would give them without special tokens."""
     names = [c for c in (docs.columns if keep is None else keep) if c != out]
     cut = "words"
@@ -194,10 +244,11 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
     kept = docs.select(*names)
     listed = docs.select(*names, words(F.coalesce(F.col(text), F.lit(""))).alias(cut))
     session(docs)
+    often, often_ids = common(docs, text, path, sample_rows, common_words)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per chunk: its rows as an Arrow stream, the words of each as numbers, and the bytes of new words."""
-        known: dict[str, int] = {}
+        known = {w: i for i, w in enumerate(often.to_pylist())}
         rows: list[pa.RecordBatch] = []
         tokens: list[pa.Array] = []
         sizes: list[np.ndarray] = []
@@ -206,12 +257,11 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
             coded = pa.concat_arrays(tokens).dictionary_encode()
             found = coded.dictionary.to_pylist()
             if len(known) + len(found) > most_words:
-                known.clear()
-            anew, first = not known, len(known)
+                for w in list(known)[len(often) :]:
+                    del known[w]
+            anew, first = len(known) == len(often), len(known)
             numbers = np.array([known.setdefault(w, len(known)) for w in found], np.int32)
-            fresh = coded.dictionary.take(pa.array(np.flatnonzero(numbers >= first))).cast(pa.binary())
-            _, offsets, data = fresh.buffers()
-            spelt = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(fresh) + 1, [None, offsets]), pa.Array.from_buffers(pa.int8(), data.size if data else 0, [None, data]))
+            spelt = of_bytes(coded.dictionary.take(pa.array(np.flatnonzero(numbers >= first))))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema) as stream:
                 for r in rows:
@@ -236,14 +286,16 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each chunk with their ids."""
-        values, at = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        start = np.asarray(often_ids.flatten(), np.int32), np.asarray(pc.list_value_length(often_ids), np.int64)
+        values, at = start
         for batch in batches:
             for k in range(batch.num_rows):
                 stream, sizes, codes = (batch.column(c)[k].as_buffer() for c in ("rows", "sizes", "codes"))
                 lists = batch.column("ids")[k].values
                 fresh = np.asarray(lists.flatten(), np.int32), np.diff(np.asarray(lists.offsets, np.int64))
-                anew = batch.column("anew")[k].as_py()
-                values, at = fresh if anew else (np.concatenate([values, fresh[0]]), np.concatenate([at, fresh[1]]))
+                if batch.column("anew")[k].as_py():
+                    values, at = start
+                values, at = np.concatenate([values, fresh[0]]), np.concatenate([at, fresh[1]])
                 first = np.cumsum(at) - at
                 sizes, codes = np.frombuffer(sizes, "<i4"), np.frombuffer(codes, "<i4")
                 ends, row = np.cumsum(sizes, dtype=np.int64), 0
@@ -261,15 +313,15 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
                         row += part.num_rows
 
     chunks = listed.mapInArrow(gather, "rows binary, sizes binary, codes binary, anew boolean, words array<array<tinyint>>")
-    ids = let(rank_map(path), lambda r: F.transform("words", lambda w: fold(w, r)))
-    schema = kept.withColumn(out, F.array().cast("array<int>")).schema
+    ids = let(rank_map(path), lambda r: F.transform("words", lambda w: fold(w, r)), f"array<{IDS}>")
+    schema = kept.withColumn(out, F.array().cast(IDS)).schema
     return chunks.select("rows", "sizes", "codes", "anew", ids.alias("ids")).mapInArrow(spread, schema)
 
 
 def binary(ids: Column, pieces: list[bytes]) -> Column:
     """The concatenation of a piece for each id."""
     listed = F.from_json(F.lit(json.dumps([p.hex() for p in pieces], separators=(",", ":"))), "array<string>")
-    return F.unhex(let(listed, lambda p: F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get(p, i)), "")))
+    return F.unhex(let(listed, lambda p: F.array_join(F.transform(F.coalesce(ids, F.array().cast(IDS)), lambda i: F.get(p, i)), ""), "string"))
 
 
 def decoded(ids: Column, path: str = VOCABULARY) -> Column:
