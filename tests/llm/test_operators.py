@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from tidegraph.llm import byte_bpe, chat_format, packing, quality_rules, queries, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, url_filter, winnow
@@ -196,7 +198,8 @@ def test_cuts_are_the_cheapest():
 
 
 def test_byte_bpe(spark, sf_dir, rows, empty):
-    coder, options = byte_bpe.library(), {}
+    ranks = {piece: i for i, piece in enumerate(byte_bpe.vocabulary()) if piece}
+    coder, options = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), {}
     for d, t in rows:
         ids = np.array(coder.encode_ordinary(t or ""), "<u4")
         options.setdefault(d, set()).add((len(ids), sha(ids.tobytes()), sha(t or "")))

@@ -11,43 +11,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once. Documents differ in length by orders of magnitude, so batches are kept short.
-BATCH_ROWS = 400
+#: Rows and bytes handed to Python at once. Documents differ in length by orders of magnitude, so bytes are the bound.
+BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
+    """The session of df, with these bounds on its Arrow batches, the same for all operators."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that driver and executors share; a temporary one only where all run in one process and none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("E_NO_SHARED_FOLDER: set spark.checkpoint.dir to a folder that driver and executors share")
         found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet into the shared folder and read it back; the files go with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(names: list[str], *wanted: str) -> list[str]:
+    """Column names that none of names equals, whatever its case: the wanted ones with as many underscores as it takes."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts empty, so that other columns can't clash with derived ones."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def row_key() -> Column:
-    """Tells rows of (doc_id, text) apart; rows that repeat both are one document."""
-    return F.xxhash64("doc_id", "text")
+def row_keys() -> tuple[Column, Column]:
+    """Two numbers, of 64 and of 32 bits, that tell rows of (doc_id, text) apart; rows that repeat both are one document."""
+    return F.xxhash64("doc_id", "text"), F.hash("doc_id", "text")
 
 
 def in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -231,7 +231,6 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield found(held_place, held_fp)
 
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     distinct = fps.select("fp").where(F.col("fp").isNotNull()).distinct()
     dealt = distinct.mapInArrow(spread, "place bigint, fp bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,7 +14,8 @@ Texts are shuffled once, by row; the exchange serves both the extension and the
 
 Defined cases: a null or empty text has no words; a document is never compared with itself, nor with rows of equal
 doc_id; rows that repeat doc_id and text are one document and get the same result each; a null doc_id comes after all
-others; a text of less than LENGTH words is kept as it is; an empty table gives an empty table.
+others, in the place of the largest 64-bit number; a text of less than LENGTH words is kept as it is; an empty table
+gives an empty table; columns other than doc_id and text have no part in it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import Rolling, in_arrow, mix, of_bytes, raw, row_key, texts, window_min, word_bounds
+from tidegraph.llm.common import Rolling, in_arrow, mix, of_bytes, raw, row_keys, texts, window_min, word_bounds, written
 
 LENGTH, GRAM = 50, 8
 #: A null doc_id's place in the order of documents.
@@ -62,24 +63,24 @@ class Records:
 
 
 def seeds(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, record, doc_id): the anchors of every document."""
+    """(h, record, place, key, more): the anchors of every document."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         r = Records(batch.column("text"), length, gram)
         columns = [pa.array(r.hash.view(np.int64)), pa.array(r.record.view(np.int64))]
-        taken = [batch.column(c).take(pa.array(r.anchor_row)) for c in ("doc_id", "key")]
-        return pa.RecordBatch.from_arrays([*columns, *taken], ["h", "record", "doc_id", "key"])
+        taken = [batch.column(c).take(pa.array(r.anchor_row)) for c in ("place", "key", "more")]
+        return pa.RecordBatch.from_arrays([*columns, *taken], ["h", "record", "place", "key", "more"])
 
-    return in_arrow(docs, each, "h bigint, record bigint, doc_id bigint, key bigint")
+    return in_arrow(docs, each, "h bigint, record bigint, place bigint, key bigint, more int")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, spans) of keyed (doc_id, text, key) rows: array<struct<first, last>> of repeated windows' first words."""
-    found = seeds(docs, length, gram)
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("record").alias("r0"), F.max("record").alias("r1"))
-    shared = shared.where("low < high").select("h", "low", (F.col("r0") == F.col("r1")).alias("same"))
-    hits = found.join(shared, "h").where("not same or doc_id > low")
-    wanted = hits.groupBy("key").agg(F.collect_set(F.struct("h", "same")).alias("anchors"))
+    """(key, more, spans) of (place, text, key, more) rows: array<struct<first, last>> of repeated windows' first words."""
+    found = seeds(docs.select("place", "text", "key", "more"), length, gram)
+    shared = found.groupBy("h").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.min("record").alias("r0"), F.max("record").alias("r1"))
+    shared = written(shared.where("low < high").select("h", "low", (F.col("r0") == F.col("r1")).alias("same")), "anchors")
+    hits = found.select("h", "place", "key", "more").join(shared, "h").where("not same or place > low")
+    wanted = hits.groupBy("key", "more").agg(F.collect_set(F.struct("h", "same")).alias("anchors"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         r = Records(batch.column("text"), length, gram)
@@ -101,16 +102,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         first = np.concatenate([(r.first - base)[all_of], window - r.first_word[window_row]]).astype(np.int32)
         last = np.concatenate([(r.last - base)[all_of], window - r.first_word[window_row]]).astype(np.int32)
         given = pa.array(np.concatenate([np.zeros(all_of.sum(), np.int64), hashes.view(np.int64)]), mask=np.arange(len(rows)) < all_of.sum())
-        taken = [batch.column(c).take(pa.array(rows)) for c in ("key", "doc_id")]
-        return pa.RecordBatch.from_arrays([*taken, pa.array(first), pa.array(last), given], ["key", "doc_id", "first", "last", "window"])
+        taken = [batch.column(c).take(pa.array(rows)) for c in ("key", "more", "place")]
+        return pa.RecordBatch.from_arrays([*taken, pa.array(first), pa.array(last), given], ["key", "more", "place", "first", "last", "window"])
 
-    joined = docs.join(wanted, "key").select("key", "doc_id", "text", "anchors")
-    extended = in_arrow(joined, each, "key bigint, doc_id bigint, first int, last int, window bigint")
-    whole = extended.where("window is null").select("key", "first", "last")
+    joined = docs.join(wanted, ["key", "more"]).select("key", "more", "place", "text", "anchors")
+    extended = in_arrow(joined, each, "key bigint, more int, place bigint, first int, last int, window bigint")
+    whole = extended.where("window is null").select("key", "more", "first", "last")
     windows = extended.where("window is not null")
-    earliest = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    later = windows.join(earliest.select("window", "low"), "window").where("doc_id > low").select("key", "first", "last")
-    return whole.union(later).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    earliest = windows.groupBy("window").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high")
+    later = windows.join(earliest.select("window", "low"), "window").where("place > low").select("key", "more", "first", "last")
+    return whole.union(later).groupBy("key", "more").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -118,7 +119,7 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     spans lists the maximal repeats as word positions, end exclusive.
     """
-    keyed = texts(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").withColumn("key", row_key())
+    keyed = texts(docs).withColumns({"place": F.coalesce("doc_id", F.lit(LAST)), **dict(zip(("key", "more"), row_keys(), strict=True))})
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -140,6 +141,5 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    joined = keyed.join(repeated(keyed, length, gram), "key", "left").select("doc_id", "text", "spans")
-    done = in_arrow(joined, each, "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+    joined = keyed.join(repeated(keyed, length, gram), ["key", "more"], "left").select("doc_id", "text", "spans")
+    return in_arrow(joined, each, "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
