@@ -8,11 +8,13 @@ partial aggregation, so the order in which patches arrive never matters and any
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.sources.event_log import Log, event_id, lowered
+from tidegraph.sources.shared import written
 
 DOT = ["dot_writer", "dot_counter"]
 EDGE = ["src", "dst", "label"]
@@ -70,6 +72,78 @@ def fold(log: Log) -> State:
     )
 
 
+# -- the same fold as one table --------------------------------------------------------------------------------------
+
+CELL = "kind string, a string, b string, c string, key string, dot_writer string, dot_counter bigint"
+_AT = "at struct<lamport:bigint,writer:string,sha:string,op_index:int>"
+VALUE_TYPE = f"struct<{_AT.replace(' ', ':', 1)},value_type:string,value_num:double,value_str:string>"
+_NAMES = [c.split()[0] for c in CELL.split(", ")]
+
+
+def entries(log: Log) -> DataFrame:
+    """Every operation, observed dot and clock of a log as cells of one table, each with its patch's lamport time."""
+    none = F.lit(None)
+    value = F.struct(event_id().alias("at"), *VALUE)
+
+    def cell(kind: str, a=none, b=none, c=none, key=none, dot: bool = False, value=none) -> Column:
+        parts = (F.lit(kind) if isinstance(kind, str) else kind, a, b, c, key, F.col("dot_writer") if dot else none, F.col("dot_counter") if dot else none)
+        cast = [p.cast(t.split()[1]).alias(t.split()[0]) for p, t in zip(parts, CELL.split(", "), strict=True)]
+        return F.struct(*cast, value.cast(VALUE_TYPE).alias("value"))
+
+    node, edge, key, kind = F.col("node"), [F.col(c) for c in EDGE], F.col("key"), F.col("op_type")
+    made = (
+        F.when(kind == "NodeAdd", F.array(cell("node_add", node, dot=True)))
+        .when(kind == "EdgeAdd", F.array(cell("edge_add", *edge, dot=True), cell("birth", *edge, value=value)))
+        .when(kind == "NodePropSet", F.array(cell("node_prop", node, key=key, value=value)))
+        .when(kind == "EdgePropSet", F.array(cell("edge_prop", *edge, key, value=value)))
+    )
+    clock = lambda w, n: F.array(cell("clock", F.col(w), value=F.struct(F.struct(F.col(n), none.cast("string"), none.cast("string"), none.cast("int")), *(none.cast(t) for t in ("string", "double", "string")))))
+    tomb = F.array(cell(F.when(kind == "NodeRemove", "node_tomb").otherwise("edge_tomb"), dot=True))
+    rows = lambda df, cells: df.select("lamport", F.inline(cells))
+    return (
+        rows(lowered(log.ops), made)
+        .union(rows(log.dated("observed").where(kind.isin("NodeRemove", "EdgeRemove")), tomb))
+        .union(rows(log.patches, clock("writer", "lamport")))
+        .union(rows(log.dated("context"), clock("ctx_writer", "ctx_counter")))
+    )
+
+
+def folded(rows: DataFrame, ceilings: tuple[Column | int | None, ...] = (None,)) -> DataFrame:
+    """Cells, one row each, as they stand at each ceiling: held_i and value_i. One shuffle, whatever the number of ceilings."""
+    best = lambda c: F.max("value") if c is None else F.max(F.when(F.col("lamport") <= c, F.col("value")))
+    held = lambda c: F.lit(True) if c is None else F.bool_or(F.col("lamport") <= c)
+    out = [x for i, c in enumerate(ceilings) for x in (held(c).alias(f"held_{i}"), best(c).alias(f"value_{i}"))]
+    return rows.groupBy(*_NAMES).agg(*out)
+
+
+def state_of(cells: DataFrame, i: int = 0) -> State:
+    """The state that cells hold at their i-th ceiling."""
+    here = cells.where(f"held_{i}")
+    of = lambda kind, names, *more: here.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip("abc", names, strict=False)), *more)
+    value = [F.col(f"value_{i}.{c}").alias(c) for c in (*VALUE, "at")]
+    return State(
+        of("node_add", ["node"], *DOT),
+        of("node_tomb", [], *DOT),
+        of("edge_add", EDGE, *DOT),
+        of("edge_tomb", [], *DOT),
+        of("birth", EDGE, F.col(f"value_{i}.at").alias("birth")),
+        of("node_prop", ["node"], "key", *value),
+        of("edge_prop", EDGE, "key", *value),
+        of("clock", ["writer"], F.col(f"value_{i}.at.lamport").alias("counter")).where("counter > 0"),
+    )
+
+
+def joined(*cells: DataFrame) -> DataFrame:
+    """The cells of the least state that holds all; by the same aggregate as the fold."""
+    rows = reduce(DataFrame.unionByName, (c.select(*_NAMES, F.lit(0).cast("long").alias("lamport"), F.col("value_0").alias("value")) for c in cells))
+    return folded(rows)
+
+
+def materialize(log: Log, ceilings: tuple[Column | int | None, ...] = (None,)) -> DataFrame:
+    """Cells written to the shared folder by kind: the snapshot that later reads and joins start from."""
+    return written(folded(entries(log), ceilings), "cells", by="kind")
+
+
 def join_states(a: State, b: State) -> State:
     """The least state that holds both: commutative, associative and idempotent."""
     both = lambda name: getattr(a, name).unionByName(getattr(b, name))

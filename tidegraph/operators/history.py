@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators import visible
-from tidegraph.operators.fold import EDGE, VALUE, fold
-from tidegraph.operators.traverse import GraphError, written
+from tidegraph.operators.fold import EDGE, VALUE, fold, materialize
+from tidegraph.operators.traverse import GraphError
 from tidegraph.sources.event_log import Log
+from tidegraph.sources.shared import written
 from tidegraph.sources.star_graph import Graph
 
 KEYS = {"nodes": ["node_id"], "edges": EDGE, "node_props": ["node_id", "key"], "edge_props": [*EDGE, "key"]}
@@ -44,12 +45,12 @@ def compare_summary(a: Graph, b: Graph) -> DataFrame:
     return rows
 
 
-def tick_diff(log: Log, start: int, end: int) -> DataFrame:
-    """The summary of what changed between two ceilings."""
-    if start > end:
+def tick_diff(log: Log, start: int, end: int | None) -> DataFrame:
+    """The summary of what changed between two ceilings, the second of them the whole log if it is None; from one fold."""
+    if end is not None and start > end:
         raise ValueError("a diff runs forward")
-    at = lambda t: visible.graph(fold(log.where(F.col("lamport") <= t)))
-    return compare_summary(at(start), at(end))
+    cells = materialize(log, (start, end))
+    return compare_summary(visible.settled(cells, 0), visible.settled(cells, 1))
 
 
 def patch_divergence(a: Log, b: Log, entity: str | None = None) -> DataFrame:

@@ -9,14 +9,14 @@ task and honour the caller's bound on its size.
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.sources.shared import written
+
 #: Edges that an ordered algorithm may gather in one task; more is an error, never a cut.
 MOST_LOCAL_EDGES = 1_000_000
 
@@ -29,18 +29,6 @@ class GraphError(ValueError):
         self.code = code
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def directed(edges: DataFrame, direction: str = "out", labels: list[str] | None = None) -> DataFrame:
     """(a, b) steps in a direction; an empty list of labels leaves none."""
     used = edges if labels is None else edges.where(F.col("label").isin(*labels) if labels else F.lit(False))

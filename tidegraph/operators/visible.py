@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.fold import EDGE, VALUE, State, alive
+from tidegraph.operators.fold import EDGE, VALUE, State, alive, state_of
+from tidegraph.sources.shared import written
 from tidegraph.sources.star_graph import Graph
 
 
-def graph(state: State) -> Graph:
-    """Live nodes; live edges with both ends live; properties of those, edge properties since the edge's last birth."""
-    nodes = alive(state.node_adds, state.node_tombs, ["node"]).withColumnRenamed("node", "node_id")
+def graph(state: State, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> Graph:
+    """Live nodes; live edges with both ends live; properties of those, edge properties since the edge's last birth.
+
+    hold keeps what several parts go by, the live nodes and edges: as it is, or as a table.
+    """
+    nodes = hold(alive(state.node_adds, state.node_tombs, ["node"]).withColumnRenamed("node", "node_id"))
     ends = lambda c: nodes.withColumnRenamed("node_id", c)
-    edges = alive(state.edge_adds, state.edge_tombs, EDGE).join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select(*EDGE)
+    edges = hold(alive(state.edge_adds, state.edge_tombs, EDGE).join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select(*EDGE))
     node_props = state.node_props.withColumnRenamed("node", "node_id").join(nodes, "node_id", "left_semi").select("node_id", "key", *VALUE)
     born = edges.join(state.births, EDGE)
     edge_props = state.edge_props.join(born, EDGE).where(F.col("at") >= F.col("birth")).select(*EDGE, "key", *VALUE)
     return Graph(nodes, edges, node_props, edge_props)
 
 
+def settled(cells: DataFrame, i: int = 0) -> Graph:
+    """The visible graph of written cells, its nodes and edges written as well."""
+    return graph(state_of(cells, i), written)
+
+
 def value_text() -> Column:
     """One comparable string per value: its type and its text."""
     return F.concat_ws("=", "value_type", F.coalesce(F.col("value_num").cast("decimal(20,4)").cast("string"), F.col("value_str"), F.lit("")))

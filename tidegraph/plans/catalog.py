@@ -19,14 +19,20 @@ from tidegraph.operators.query import Query
 from tidegraph.plans.sql import GRAPH, GRAPH_PROPS, LOG, STATE, state_at
 from tidegraph.sources import event_log, star_graph
 from tidegraph.sources.event_log import Log
+from tidegraph.sources.shared import written
 from tidegraph.sources.star_graph import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Entities of the smaller graph, which has no orders and parts.
 SMALL = ("region", "nation", "customer", "supplier")
-#: Lamport times of the two coordinates that comparisons use.
-EARLY, LATE = 300, 900
+#: The first of the two coordinates that queries compare: a third of the largest Lamport time. The second is the whole log.
+EARLY = "lamport * 3 <= (SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id % 8))"
+
+
+def third(g: Log) -> int:
+    return (g.patches.agg(F.max("lamport")).first()[0] or 0) // 3
+
 
 
 def query(name: str, sql: str | None = None):
@@ -70,18 +76,10 @@ on_graph("query_match", f"WITH {GRAPH} SELECT node_id AS id FROM nodes WHERE nod
 )
 on_graph(
     "query_where",
-    f"WITH {GRAPH_PROPS} SELECT DISTINCT p.node_id AS id FROM node_props p JOIN node_props q USING (node_id) "
-    "WHERE p.key = 'p_size' AND p.num = 10 AND q.key = 'p_brand' AND q.str = (SELECT min(p_brand) FROM part) ORDER BY 1",
+    "SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 10 AND p_retailprice > 950 ORDER BY 1",
 )(
-    lambda g: Query(g).match("part:*").where({"p_size": 10}).where(F.col("props")["p_brand"]["value_str"] == brand(g)).run()
+    lambda g: Query(g).match("part:*").where({"p_size": 10}).where(F.col("props")["p_retailprice"]["value_num"] > 950).run()
 )
-
-
-def brand(g: Graph) -> F.Column:
-    first = g.node_props.where("key = 'p_brand'").agg(F.min("value_str").alias("b"))
-    return F.lit(first.first()["b"])
-
-
 on_graph(
     "query_where_column",
     f"WITH {GRAPH} SELECT src AS id FROM edges WHERE label = 'supplied_by' GROUP BY src HAVING count(*) > 25 ORDER BY 1",
@@ -289,28 +287,35 @@ PROJECTION = """SELECT 'node' AS kind, node AS name, '' AS value FROM live_nodes
 UNION ALL SELECT 'edge', src || '|' || dst || '|' || label, '' FROM live_edges
 UNION ALL SELECT 'node_prop', node || '|' || key, 'number=' || CAST(CAST(value AS DECIMAL(20,4)) AS VARCHAR) FROM live_node_props
 UNION ALL SELECT 'edge_prop', src || '|' || dst || '|' || label || '|' || key, 'number=' || CAST(CAST(value AS DECIMAL(20,4)) AS VARCHAR) FROM live_edge_props"""
-on_log("state_projection", f"WITH {STATE} {PROJECTION}")(lambda g: V.projection(V.graph(D.fold(g))))
-on_log("state_hash")(lambda g: V.state_hash(V.graph(D.fold(g))))
+on_log("state_projection", f"WITH {STATE} {PROJECTION}")(lambda g: V.projection(V.settled(D.materialize(g))))
+on_log("state_hash")(lambda g: V.state_hash(V.settled(D.materialize(g))))
 on_log("join_states", f"WITH {STATE} {PROJECTION}")(
-    lambda g: V.projection(V.graph(D.join_states(D.fold(g.where("lamport % 2 = 0")), D.fold(g.where("lamport % 2 = 1")))))
+    lambda g: V.projection(V.settled(written(D.joined(*(D.folded(D.entries(g.where(f"lamport % 2 = {i}"))) for i in (0, 1))), "cells", by="kind")))
 )
+
+
+def brought_forward(g: Log, t: int) -> DataFrame:
+    """The cells of a snapshot at a tick and of the patches after it, joined."""
+    return written(D.joined(D.materialize(g.where(F.col("lamport") <= t)), D.folded(D.entries(g.where(F.col("lamport") > t)))), "cells", by="kind")
+
+
 on_log("materialize_incremental", f"WITH {STATE} {PROJECTION}")(
-    lambda g: V.projection(V.graph(D.incremental(D.fold(g.where(F.col("lamport") <= EARLY)), g.where(F.col("lamport") > EARLY))))
+    lambda g: V.projection(V.settled(brought_forward(g, third(g))))
 )
-on_log("materialize_ceiling", f"WITH {state_at(f'lamport <= {EARLY}')} SELECT node AS node_id FROM live_nodes")(
-    lambda g: V.graph(D.fold(D.at_ceiling(g, EARLY))).nodes
+on_log("materialize_ceiling", f"WITH {state_at(EARLY)} SELECT node AS node_id FROM live_nodes")(
+    lambda g: V.graph(D.fold(D.at_ceiling(g, third(g)))).nodes
 )
 on_log("materialize_coordinate", f"WITH {state_at('lamport <= 200 AND writer IN (' + repr('w1') + ', ' + repr('w2') + ')')} SELECT node AS node_id FROM live_nodes")(
     lambda g: V.graph(D.fold(D.at_frontier(g, g.patches.where("writer in ('w1', 'w2') and seq = 200").select("writer", F.col("sha").alias("tip_sha"))))).nodes
 )
-on_log("vv_merge", f"WITH {LOG} SELECT writer, max(lamport) AS counter FROM b WHERE lamport <= {LATE} GROUP BY writer")(
-    lambda g: D.fold(g.where(F.col("lamport") <= EARLY)).frontier.union(D.fold(g.where(F.col("lamport") <= LATE)).frontier).groupBy("writer").agg(F.max("counter").alias("counter"))
+on_log("vv_merge", f"WITH {LOG} SELECT writer, max(lamport) AS counter FROM b WHERE {EARLY} OR writer < 'w4' GROUP BY writer")(
+    lambda g: D.fold(g.where(F.col("lamport") <= third(g))).frontier.union(D.fold(g.where("writer < 'w4'")).frontier).groupBy("writer").agg(F.max("counter").alias("counter"))
 )
 on_log("vv_descends", f"WITH {LOG} SELECT true AS descends")(
-    lambda g: D.descends(D.fold(g).frontier, D.fold(g.where(F.col("lamport") <= EARLY)).frontier)
+    lambda g: D.descends(D.fold(g).frontier, D.fold(g.where(F.col("lamport") <= third(g))).frontier)
 )
-APPLIED = f"(SELECT writer, least(max(lamport), {EARLY}) AS lim FROM b GROUP BY writer)"
-limit = lambda g: g.patches.groupBy("writer").agg(F.least(F.max("lamport"), F.lit(EARLY)).alias("counter"))
+APPLIED = f"(SELECT writer, max(lamport) AS lim FROM b WHERE {EARLY} GROUP BY writer)"
+limit = lambda g: g.patches.where(F.col("lamport") <= third(g)).groupBy("writer").agg(F.max("lamport").alias("counter"))
 on_log(
     "gc_compact",
     f"WITH {STATE} SELECT node, writer AS dot_writer, lamport AS dot_counter FROM node_add a WHERE NOT EXISTS (SELECT 1 FROM node_tomb t JOIN {APPLIED} l ON t.dw = l.writer WHERE t.dw = a.writer AND t.dc = a.lamport AND t.dc <= l.lim)",
@@ -395,17 +400,15 @@ def merge_classify(spark: SparkSession, d: str) -> DataFrame:
 # -- history ---------------------------------------------------------------------------------------------------------
 
 
-def early(g: Log) -> Graph:
-    return V.graph(D.fold(g.where(F.col("lamport") <= EARLY)))
-
-
-def late(g: Log) -> Graph:
-    return V.graph(D.fold(g.where(F.col("lamport") <= LATE)))
+def coordinates(g: Log) -> tuple[Graph, Graph]:
+    """The graphs at both coordinates, from one fold with a ceiling each."""
+    cells = D.materialize(g, (third(g), None))
+    return V.settled(cells, 0), V.settled(cells, 1)
 
 
 def two(sql: str) -> str:
     """SQL over the states at both coordinates, as a_ and b_ tables."""
-    return f"WITH {state_at(f'lamport <= {EARLY}', 'a_')}, {state_at(f'lamport <= {LATE}', 'b_')} {sql}"
+    return f"WITH {state_at(EARLY, 'a_')}, {state_at('true', 'b_')} {sql}"
 
 
 def delta(table: str, keys: str, valued: bool) -> str:
@@ -427,19 +430,19 @@ for name, part, sql in (
     ("compare_node_props", "node_props", NODE_PROPS.replace("SELECT node, key, ", "SELECT node AS node_id, key, ", 1)),
     ("compare_edge_props", "edge_props", EDGE_PROPS),
 ):
-    on_log(name, two(sql))(lambda g, part=part: H.changes(early(g), late(g), part))
+    on_log(name, two(sql))(lambda g, part=part: H.changes(*coordinates(g), part))
 for name, part, sql in (
     ("state_diff_nodes", "nodes", NODES.replace("SELECT node, ", "SELECT node AS node_id, ", 1)),
     ("state_diff_edges", "edges", EDGES),
     ("state_diff_props", "node_props", NODE_PROPS.replace("SELECT node, key, ", "SELECT node AS node_id, key, ", 1)),
 ):
-    on_log(name, two(sql))(lambda g, part=part: H.state_diff(early(g), late(g))[part])
+    on_log(name, two(sql))(lambda g, part=part: H.state_diff(*coordinates(g))[part])
 SUMMARY = two(
     f"SELECT part, change, count(*) AS n FROM (SELECT 'nodes' AS part, change FROM ({NODES}) UNION ALL SELECT 'edges', change FROM ({EDGES}) "
     f"UNION ALL SELECT 'node_props', change FROM ({NODE_PROPS}) UNION ALL SELECT 'edge_props', change FROM ({EDGE_PROPS})) GROUP BY part, change"
 )
-on_log("compare_summary", SUMMARY)(lambda g: H.compare_summary(early(g), late(g)))
-on_log("tick_diff", SUMMARY)(lambda g: H.tick_diff(g, EARLY, LATE))
+on_log("compare_summary", SUMMARY)(lambda g: H.compare_summary(*coordinates(g)))
+on_log("tick_diff", SUMMARY)(lambda g: H.tick_diff(g, third(g), None))
 on_log(
     "transfer_plan",
     two(
@@ -449,15 +452,20 @@ on_log(
         UNION ALL SELECT CASE change WHEN 'removed' THEN 3 ELSE 2 END, CASE change WHEN 'removed' THEN 'clearNodeProp' ELSE 'setNodeProp' END, node || '|' || key, after FROM ({NODE_PROPS})
         UNION ALL SELECT CASE change WHEN 'removed' THEN 6 ELSE 5 END, CASE change WHEN 'removed' THEN 'clearEdgeProp' ELSE 'setEdgeProp' END, src || '|' || dst || '|' || label || '|' || key, after FROM ({EDGE_PROPS}))"""
     ),
-)(lambda g: H.transfer_plan(early(g), late(g)))
+)(lambda g: H.transfer_plan(*coordinates(g)))
 on_log("equivalence_gate", f"WITH {LOG} SELECT true AS equivalent, 0::BIGINT AS n_different, CAST(NULL AS VARCHAR) AS first_different")(
-    lambda g: H.equivalent(V.graph(D.fold(g)), V.graph(D.join_states(D.fold(g.where("lamport % 3 = 0")), D.fold(g.where("lamport % 3 > 0")))))
+    lambda g: H.equivalent(V.settled(D.materialize(g)), V.settled(written(D.joined(*(D.folded(D.entries(g.where(f"lamport % 3 {x}"))) for x in ("= 0", "> 0"))), "cells", by="kind")))
 )
+on_log(
+    "equivalence_gate_differs",
+    f"""WITH {state_at(EARLY)}, p AS ({PROJECTION})
+    SELECT false AS equivalent, count(*) AS n_different, min(kind || '|' || name) AS first_different FROM p WHERE kind <> 'node' """,
+)(lambda g: H.equivalent((a := V.settled(D.materialize(g.where(F.col("lamport") <= third(g))))), Graph(a.nodes, a.edges.limit(0), a.node_props.limit(0), a.edge_props.limit(0))))
 on_log(
     "patch_divergence",
-    f"WITH {LOG} SELECT sha, CASE WHEN lamport <= 200 THEN 'shared' WHEN writer < 'w4' THEN 'left' ELSE 'right' END AS side FROM b WHERE lamport <= 400",
+    f"WITH {LOG} SELECT sha, CASE WHEN {EARLY} THEN 'shared' WHEN writer < 'w4' THEN 'left' ELSE 'right' END AS side FROM b",
 )(
-    lambda g: H.patch_divergence(g.where("lamport <= 200 or (lamport <= 400 and writer < 'w4')"), g.where("lamport <= 200 or (lamport <= 400 and writer >= 'w4')"))
+    lambda g: H.patch_divergence(*(g.where((F.col("lamport") <= third(g)) | F.expr(side)) for side in ("writer < 'w4'", "writer >= 'w4'")))
 )
 TEMPORAL = f"""WITH {LOG}, sets AS (SELECT lamport, writer, sha, value FROM node_set WHERE node = 'user:7')
 SELECT coalesce(bool_and(value > 0), false) AS always, coalesce(bool_or(value > 50), false) AS eventually FROM sets"""
@@ -517,7 +525,7 @@ def audit_chain(spark: SparkSession, d: str) -> DataFrame:
     return X.audit_chain(X.audit_receipts(rows, F.concat_ws("|", "role", "text")))
 
 
-on_log("watch_filter", two(f"SELECT node AS node_id, change FROM ({NODES}) WHERE node LIKE 'item:1%'"))(lambda g: X.watch(H.changes(early(g), late(g), "nodes"), "item:1*"))
+on_log("watch_filter", two(f"SELECT node AS node_id, change FROM ({NODES}) WHERE node LIKE 'item:1%'"))(lambda g: X.watch(H.changes(*coordinates(g), "nodes"), "item:1*"))
 
 
 @query("demux", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")

@@ -25,6 +25,8 @@ class Log:
     observed: DataFrame
     context: DataFrame  # sha, ctx_writer, ctx_counter
     footprint: DataFrame  # sha, entity, kind: read or write
+    #: observed, context and footprint with their patches' columns, and observed with op_type, where a source has them
+    wide: dict[str, DataFrame] | None = None
 
     def only(self, keep: DataFrame) -> Log:
         """The log restricted to the patches whose sha is in a one-column table."""
@@ -33,7 +35,19 @@ class Log:
 
     def where(self, condition: Column | str) -> Log:
         """The log restricted by a condition on the patches' columns."""
-        return self.only(self.patches.where(condition).select("sha"))
+        if not self.wide:
+            return self.only(self.patches.where(condition).select("sha"))
+        wide = {n: df.where(condition) for n, df in self.wide.items()}
+        return Log(self.patches.where(condition), self.ops.where(condition), *(wide[n].select(getattr(self, n).columns) for n in wide), wide)
+
+    def dated(self, name: str) -> DataFrame:
+        """observed, context or footprint with lamport, and observed with op_type."""
+        if self.wide:
+            return self.wide[name]
+        rows = getattr(self, name)
+        if name == "observed":
+            return rows.join(self.ops.select("sha", "op_index", "op_type", "lamport"), ["sha", "op_index"])
+        return rows.join(self.patches.select("sha", "lamport"), "sha")
 
     def union(self, other: Log) -> Log:
         """Both logs; patches that are in both count once."""
@@ -124,10 +138,12 @@ def from_events(spark: SparkSession, sf_dir: str) -> Log:
     ops = base.select("sha", "writer", "lamport", F.col("lamport").alias("seq"), F.inline(made))
     # a removal observes the additions of its element with a smaller lamport
     target = F.coalesce("node", F.concat_ws("\x00", "src", "dst", "label"))
+    dated = ["sha", "writer", "lamport", "seq"]
     adds = ops.where(F.col("op_type").isin("NodeAdd", "EdgeAdd")).select(target.alias("t"), F.col("lamport").alias("al"), "dot_writer", "dot_counter")
-    removes = ops.where(F.col("op_type").isin("NodeRemove", "EdgeRemove")).select("sha", "op_index", target.alias("t"), F.col("lamport").alias("rl"))
-    observed = removes.join(adds, "t").where("al < rl").select("sha", "op_index", "dot_writer", "dot_counter")
-    context = base.where("lamport > 1").select("sha", F.col("writer").alias("ctx_writer"), (F.col("lamport") - 1).alias("ctx_counter"))
+    removes = ops.where(F.col("op_type").isin("NodeRemove", "EdgeRemove")).select(*dated, "op_index", "op_type", target.alias("t"))
+    observed = removes.join(adds, "t").where("al < lamport").select(*dated, "op_index", "op_type", "dot_writer", "dot_counter")
+    base = base.withColumn("seq", F.col("lamport"))
+    context = base.where("lamport > 1").select(*dated, F.col("writer").alias("ctx_writer"), (F.col("lamport") - 1).alias("ctx_counter"))
     edge_name = F.concat(F.col("user"), F.lit("->"), F.col("item"))
     touch = lambda c, kind: F.struct(c.alias("entity"), F.lit(kind).alias("kind"))
     marks = (
@@ -136,5 +152,6 @@ def from_events(spark: SparkSession, sf_dir: str) -> Log:
         .when(F.col("kind") == "signup", F.array(touch(F.col("user"), "write")))
         .otherwise(F.array(touch(F.col("item"), "read"), touch(F.col("item"), "write")))
     )
-    footprint = base.select("sha", F.inline(marks))
-    return Log(base.select("sha", "writer", "lamport", F.col("lamport").alias("seq")), ops, observed, context, footprint)
+    wide = {"observed": observed, "context": context, "footprint": base.select(*dated, F.inline(marks))}
+    narrow = (observed.select("sha", "op_index", "dot_writer", "dot_counter"), context.select("sha", "ctx_writer", "ctx_counter"), wide["footprint"].select("sha", "entity", "kind"))
+    return Log(base.select(*dated), ops, *narrow, wide)

@@ -1,8 +1,10 @@
 """Incremental folds over streams of patches, and the subscriptions that hang on them.
 
-The fold doesn't depend on order, so late patches need no watermark: each micro-batch is folded by itself and joined
-to the state in a folder, whose versions are written whole and then named current, so a batch that is replayed after a
-failure finds the version it started from and gives the same result.
+The fold doesn't depend on order, so late patches need no watermark. Each micro-batch is folded by itself into cells
+and written once, as a table of its own; the state is the join of a base with the tables after it, and every BASE_EVERY
+batches a new base is written. The work of a batch thus grows with the batch and not with the state, but for the base,
+and for the diff where somebody listens. A batch that is replayed after a failure writes its table anew with the same
+content; the table `current` names the last batch that is whole.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegraph.operators import history, visible
-from tidegraph.operators.fold import State, fold, join_states
-from tidegraph.sources.event_log import OBSERVED, OPS, Log
+from tidegraph.operators.fold import CELL, VALUE_TYPE, State, entries, folded, joined, state_of
+from tidegraph.sources.event_log import OPS, Log
+from tidegraph.sources.shared import written
 from tidegraph.sources.star_graph import Graph
 
 #: One row of a patch stream: an operation with the dots that it observed, and the patch's context.
@@ -34,27 +37,69 @@ def log_of(rows: DataFrame) -> Log:
     return Log(patches, once.select(*names), observed, context, footprint)
 
 
-def empty_state(spark: SparkSession) -> State:
-    ops, dots = spark.createDataFrame([], OPS), spark.createDataFrame([], OBSERVED)
-    none = lambda schema: spark.createDataFrame([], schema)
-    return fold(Log(none("sha string, writer string, lamport bigint, seq bigint"), ops, dots, none("sha string, ctx_writer string, ctx_counter bigint"), none("sha string, entity string, kind string")))
+#: Batches from one base of the state to the next.
+BASE_EVERY = 16
 
 
-def subscribe(rows: DataFrame, path: str, checkpoint: str, on_change: Callable[[dict[str, DataFrame], int], None] | None = None, **trigger) -> StreamingQuery:
-    """Fold a stream of operations into state versions under path; on_change gets the diff of each batch that has one."""
+def cells_at(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The state's cells after a batch, -1 for none: the base before it, joined with the batches since."""
+    base = max(number, 0) // BASE_EVERY * BASE_EVERY
+    tables = [f"{path}/base-{base}"] if base else []
+    tables += [f"{path}/batch-{n}" for n in range(base, number + 1)]
+    if not tables:
+        return spark.createDataFrame([], f"{CELL}, held_0 boolean, value_0 {VALUE_TYPE}")
+    found = [spark.read.schema(f"{CELL}, held_0 boolean, value_0 {VALUE_TYPE}").parquet(t) for t in tables]
+    return found[0] if len(found) == 1 else joined(*found)
+
+
+def current(spark: SparkSession, path: str) -> int:
+    """The last batch that is whole; -1 before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return -1
+    return spark.read.parquet(f"{path}/current").first()["number"]
+
+
+def state_at(spark: SparkSession, path: str, number: int | None = None) -> State:
+    """The state after a batch, the last whole one by default."""
+    return state_of(cells_at(spark, path, current(spark, path) if number is None else number))
+
+
+def differences(spark: SparkSession, before: DataFrame, after: DataFrame) -> dict[str, DataFrame] | None:
+    """The diff of two states' cells, written once; None if there is none."""
+    parts = history.state_diff(visible.settled(before), visible.settled(after))
+    names = ("node_id", "src", "dst", "label", "key", "before", "after", "change")
+    rows = [d.select(F.lit(part).alias("part"), *(F.col(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in names)) for part, d in parts.items()]
+    found = written(reduce(DataFrame.unionByName, rows), "diff")
+    if found.isEmpty():
+        return None
+    return {part: found.where(F.col("part") == part).select(*d.columns) for part, d in parts.items()}
+
+
+def subscribe(
+    rows: DataFrame, path: str, checkpoint: str, on_change: Callable[[dict[str, DataFrame], int], None] | None = None, replay: bool = False, **trigger
+) -> StreamingQuery:
+    """Fold a stream of operations into the state under path; on_change gets the diff of each batch that has one.
+
+    With replay it first gets what is there already, as the diff from an empty state, under the last whole batch's number.
+    """
     spark = rows.sparkSession
 
-    def version(batch: int) -> State:
-        return State.read(spark, f"{path}/v{batch}") if batch >= 0 else empty_state(spark)
+    def tell(start: int, number: int) -> None:
+        diff = differences(spark, cells_at(spark, path, start), cells_at(spark, path, number))
+        if diff:
+            on_change(diff, number)
 
     def each(batch: DataFrame, number: int) -> None:
-        before = version(number - 1)
-        join_states(before, fold(log_of(batch))).write(f"{path}/v{number}")
+        folded(entries(log_of(batch))).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        if number and number % BASE_EVERY == 0:
+            cells_at(spark, path, number - 1).write.mode("overwrite").parquet(f"{path}/base-{number}")
+        spark.range(1).select(F.lit(number).cast("long").alias("number")).write.mode("overwrite").parquet(f"{path}/current")
         if on_change:
-            diff = history.state_diff(visible.graph(before), visible.graph(version(number)))
-            if any(not d.isEmpty() for d in diff.values()):
-                on_change(diff, number)
+            tell(number - 1, number)
 
+    if replay and on_change and current(spark, path) >= 0:
+        tell(-1, current(spark, path))
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
