@@ -1,12 +1,15 @@
 """Cases that the shared fixture doesn't reach: clashing names, many copies, very long words, new letters."""
 
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from tidegraph.llm import byte_bpe, suffix_dedup
+from tidegraph.llm import byte_bpe, packing, simhash_dedup, suffix_dedup, url_filter
 
 
 def covered(texts, length):
@@ -78,3 +81,55 @@ def test_every_piece_folds_to_itself():
             rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
             assert rank < 1 << 30
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def test_url_filter_knows_keys_of_any_depth(spark):
+    """Prefixes of many segments, domains of many labels, a bracketed host, and a column named as a result."""
+    deep, long = "h.org/" + "/".join("abcdefgh"), ".".join("abcdefghij") + ".example.net"
+    entries = spark.createDataFrame(
+        [(deep, "block", "deep", "2024-02-01"), ("." + long, "block", "long", "2024-01-01"), ("[::1]", "block", "six", "2024-01-01"), ("." + ".".join(f"l{i}" for i in range(60)), "allow", "labels", "2024-01-01")],
+        "key string, action string, rule string, day string",
+    ).selectExpr("key", "action", "rule", "date(day) day")
+    urls = [f"https://{deep}/x?y", f"https://{deep}", "https://h.org/a/b/c", f"http://z.{long}/", "http://[::1]:80/p", "http://" + ".".join(f"l{i}" for i in range(60)) + "/", None, "no url"]
+    captures = spark.createDataFrame([(i, u, "2024-03-01", "mine") for i, u in enumerate(urls)] + [(99, urls[0], "2024-01-31", "mine")], "page_id int, url string, fetch_day string, Action string")
+    captures = captures.selectExpr("page_id", "url", "date(fetch_day) fetch_day", "Action")
+    got = url_filter.judge(captures, entries, "2024-01-01", "2024-12-31").collect()
+    assert {r["page_id"]: (r["action"], r["rule"]) for r in got} == {
+        0: ("block", "deep"), 1: ("block", "deep"), 2: ("allow", None), 3: ("block", "long"), 4: ("block", "six"), 5: ("allow", "labels"), 6: ("allow", None), 7: ("allow", None), 99: ("allow", None)
+    }
+    assert url_filter.judge(captures.limit(0), entries.limit(0), "2024-01-01", "2024-12-31").count() == 0
+
+
+def test_packing_equals_the_tokenizer(spark):
+    """Every id of every document, in order, against the tokenizers library; little padding."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé 日.,!\n'9") for _ in range(rng.randint(1, 9)))
+    texts = [None, "", " ", "a" * 5000] + [" ".join(word() for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    want = {i: [*own.encode(t or "", add_special_tokens=False).ids, packing.END_OF_DOCUMENT] for i, t in enumerate(texts)}
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)).collect()
+    at = dict.fromkeys(want, 0)
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        ids = want[p["doc_id"]]
+        part = np.array(ids[p["start"] : p["start"] + p["length"]], "<u4")
+        assert (p["start"], p["doc_tokens"], p["ids_crc32"]) == (at[p["doc_id"]], len(ids), zlib.crc32(part.tobytes()))
+        at[p["doc_id"]] += p["length"]
+    assert at == {i: len(ids) for i, ids in want.items()}
+    filled = Counter()
+    for p in pieces:
+        filled[p["sequence_id"]] += p["length"]
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in filled.values())
+    assert max(filled.values()) <= 2048 and padding <= 0.05 * sum(filled.values()) + 2048
+
+
+def test_simhash_fingerprint_bit_by_bit():
+    rng = random.Random(9)
+    texts = ["", " \t\n", "One", "a b c", "a b c d", "A  b\x0bC d e", "é É x y z", "x " * 300] + [" ".join(rng.choice("pqrst") for _ in range(rng.randint(4, 40))) for _ in range(30)]
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        grams = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash_dedup.fingerprint(t) == want

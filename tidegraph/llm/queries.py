@@ -69,13 +69,13 @@ i AS (
          coalesce(lead(day) OVER (PARTITION BY key ORDER BY day, action, rule), DATE '9999-01-01') AS valid_to
   FROM e),
 k AS (
-  SELECT page_id, fetch_day, host AS key, 50 AS level FROM p WHERE host IS NOT NULL
+  SELECT page_id, fetch_day, host AS key, 1000 AS level FROM p WHERE host IS NOT NULL
   UNION ALL
-  SELECT page_id, fetch_day, '.' || array_to_string(string_split(host, '.')[-n:], '.'), n::INTEGER FROM p, range(1, 7) r(n)
-  WHERE n <= len(string_split(host, '.'))
+  SELECT page_id, fetch_day, '.' || array_to_string(string_split(host, '.')[-n:], '.'), n::INTEGER FROM p, unnest(range(1, len(string_split(host, '.')) + 1)) r(n)
+  WHERE host IS NOT NULL
   UNION ALL
-  SELECT page_id, fetch_day, host || '/' || array_to_string(parts[1:n], '/'), (n + 100)::INTEGER FROM p, range(1, 4) r(n)
-  WHERE host IS NOT NULL AND n <= len(parts)),
+  SELECT page_id, fetch_day, host || '/' || array_to_string(parts[1:n], '/'), (n + 1000)::INTEGER FROM p, unnest(range(1, len(parts) + 1)) r(n)
+  WHERE host IS NOT NULL),
 m AS (
   SELECT page_id, max({'level': level, 'allows': action = 'allow', 'rule': rule}) AS best, count(*) AS n_rules
   FROM k JOIN i USING (key) WHERE action <> 'remove' AND fetch_day >= valid_from AND fetch_day < valid_to GROUP BY page_id)
