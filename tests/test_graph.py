@@ -112,6 +112,10 @@ def test_where_and_aggregate(spark):
     assert ids(Query(g).where({"n": None}).run()) == ["c"]
     assert ids(Query(g).where(F.size("edges_out") > 0).run()) == []
     assert Query(g).aggregate(count=True, sum="k", min="props.k", avg="none").first() == (3, 5.0, 5.0, 0.0)
+    with pytest.raises(QueryError, match="E_QUERY_AGGREGATE_TERMINAL"):
+        Query(g).aggregate(count=True).outgoing()
+    deep = graph(spark, ["a", "b", "c"], [], [("a", "at", '{"floor": {"n": 2.5}}'), ("b", "at", '{"floor": {"n": "7"}}'), ("c", "at", 4)])
+    assert Query(deep).aggregate(count=True, sum="props.at.floor.n", max="at").first() == (3, 9.5, 4.0)
     with pytest.raises(QueryError, match="E_QUERY_SELECT_FIELD"):
         Query(g).select(["other"])
     with pytest.raises(QueryError, match="E_QUERY_DEPTH"):
@@ -149,3 +153,15 @@ def test_the_bound_counts_reachable_edges_alone(spark, monkeypatch):
     monkeypatch.setattr(traverse.local, "__defaults__", (3,))
     with pytest.raises(traverse.GraphError):
         traverse.dfs(g.edges, "A")
+
+
+def test_errors_of_traversals(spark):
+    loop = graph(spark, "AB", ["A>B", "B>A"])
+    with pytest.raises(traverse.GraphError, match="ERR_GRAPH_HAS_CYCLES"):
+        traverse.reduction(loop.edges, loop.nodes)
+    line = graph(spark, "ABC", ["A>B", "B>C"])
+    with pytest.raises(traverse.GraphError, match="E_MAX_EDGES_EXCEEDED"):
+        traverse.closure(line.edges, line.nodes, max_edges=2)
+    assert traverse.closure(line.edges, line.nodes, max_edges=3).count() == 3
+    with pytest.raises(Exception, match="NO_PATH"):
+        traverse.a_star(line.edges, "C", "A").collect()

@@ -34,3 +34,16 @@ def test_refusals(spark):
     log = one.add_node("n").commit()
     with pytest.raises(writer.PatchError, match="E_PATCH_CONFLICT"):
         writer.session(spark, log, "a", expected_tip="other")
+
+
+def test_dots_run_on_and_compact(spark):
+    log = writer.session(spark, None, "a").add_node("x").add_node("y").commit()
+    state = fold.fold(log)
+    log = log.union(writer.session(spark, log, "a", state).add_node("z").remove_node("x").commit())
+    state = fold.fold(log)
+    assert sorted(r["dot_counter"] for r in state.node_adds.collect()) == [1, 2, 3]
+    assert [tuple(r) for r in fold.applied(state).collect()] == [("a", 3)]
+    small = fold.compact(state, fold.applied(state))
+    assert sorted(r["node"] for r in small.node_adds.collect()) == ["y", "z"] and small.node_tombs.isEmpty()
+    none = fold.compact(state, fold.applied(state).where("counter < 0"))
+    assert none.node_adds.count() == 3 and none.node_tombs.count() == 1

@@ -192,6 +192,12 @@ def descends(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.agg(F.coalesce(F.bool_and(F.coalesce("counter", F.lit(0)) >= F.col("_b")), F.lit(True)).alias("descends"))
 
 
+def applied(state: State) -> DataFrame:
+    """(writer, counter): the largest dot of each writer that a state holds, the vector that compaction goes by."""
+    dots = state.node_adds.select(*DOT).union(state.edge_adds.select(*DOT)).union(state.node_tombs).union(state.edge_tombs)
+    return dots.groupBy(F.col("dot_writer").alias("writer")).agg(F.max("dot_counter").alias("counter"))
+
+
 def compact(state: State, applied: DataFrame) -> State:
     """Drop the dots that are both removed and covered by the applied vector (writer, counter), and their tombstones."""
     limit = applied.select(F.col("writer").alias("dot_writer"), F.col("counter").alias("_limit"))

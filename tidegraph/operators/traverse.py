@@ -88,11 +88,16 @@ def component(edges: DataFrame, nodes: DataFrame, start: str) -> DataFrame:
     return bfs(edges, nodes, start, "both").select("node_id").orderBy("node_id")
 
 
-def closure(edges: DataFrame, nodes: DataFrame, direction: str = "out", labels: list[str] | None = None) -> DataFrame:
-    """(src, dst): every pair with a path between them, but no node with itself."""
+def closure(edges: DataFrame, nodes: DataFrame, direction: str = "out", labels: list[str] | None = None, max_edges: int | None = None) -> DataFrame:
+    """(src, dst): every pair with a path between them, but no node with itself; more than max_edges raise E_MAX_EDGES_EXCEEDED."""
     starts = nodes.select(F.col("node_id").alias("origin"), "node_id")
     found = reach(directed(edges, direction, labels), starts)
-    return found.where("origin <> node_id").select(F.col("origin").alias("src"), F.col("node_id").alias("dst"))
+    pairs = found.where("origin <> node_id").select(F.col("origin").alias("src"), F.col("node_id").alias("dst"))
+    if max_edges is not None:
+        pairs = written(pairs)
+        if pairs.limit(max_edges + 1).count() > max_edges:
+            raise GraphError("E_MAX_EDGES_EXCEEDED", str(max_edges))
+    return pairs
 
 
 def common_ancestors(edges: DataFrame, nodes: DataFrame, ids: list[str], max_results: int = 100) -> DataFrame:
@@ -177,8 +182,11 @@ def levels(edges: DataFrame, nodes: DataFrame, starts: list[str]) -> DataFrame:
 
 
 def reduction(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges without those that a longer path replaces; all labels of a pair go together."""
-    pairs = written(closure(edges, nodes))
+    """Edges without those that a longer path replaces; all labels of a pair go together; a cycle raises ERR_GRAPH_HAS_CYCLES."""
+    pairs = written(closure(edges, edges.select(F.col("dst").alias("node_id")).distinct()))  # from what edges lead to, which is all that counts
+    back = edges.where("src = dst").select("src", "dst").union(edges.select("src", "dst").join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"))
+    if not back.isEmpty():
+        raise GraphError("ERR_GRAPH_HAS_CYCLES", "only a graph without cycles has one reduction")
     indirect = edges.select(F.col("src"), F.col("dst").alias("_m")).distinct().join(pairs.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
     return edges.join(indirect, ["src", "dst"], "left_anti").select("src", "dst", "label").orderBy("src", "dst", "label")
 
@@ -274,7 +282,7 @@ def topological_sort(edges: DataFrame, starts: list[str], throw_on_cycle: bool =
 
 
 def a_star(edges: DataFrame, start: str, goal: str, weights: dict[tuple[str, str], float] | None = None, heuristic: Callable[[str], float] = lambda n: 0.0) -> DataFrame:
-    """One row (cost, path, explored); equal priorities take the smaller id."""
+    """One row (cost, path, explored); equal priorities take the smaller id; without a path the job fails with NO_PATH."""
     cost_of = weights or {}
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -296,13 +304,13 @@ def a_star(edges: DataFrame, start: str, goal: str, weights: dict[tuple[str, str
                 if b not in best or new < best[b] or (new == best[b] and node < parent.get(b, node)):
                     best[b], parent[b] = new, node
                     heapq.heappush(heap, (new + heuristic(b), b))
-        return pd.DataFrame({"cost": [float("nan")], "path": [""], "explored": [explored]})
+        raise GraphError("NO_PATH", f"{start} to {goal}")
 
     return local(reached(edges, [start]), kernel, "cost double, path string, explored long")
 
 
 def bidirectional_a_star(edges: DataFrame, start: str, goal: str, weights: dict[tuple[str, str], float] | None = None) -> DataFrame:
-    """One row (cost, path): two searches meet; a tie between meeting points takes the smaller id."""
+    """One row (cost, path): two searches meet; a tie between meeting points takes the smaller id; else as a_star."""
     cost_of = weights or {}
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -328,7 +336,7 @@ def bidirectional_a_star(edges: DataFrame, start: str, goal: str, weights: dict[
                     if total < least or (total == least and m < met):
                         met, least = m, total
         if met is None:
-            return pd.DataFrame({"cost": [float("nan")], "path": [""]})
+            raise GraphError("NO_PATH", f"{start} to {goal}")
         halves = []
         for s in sides:
             part = [met]

@@ -24,8 +24,6 @@ from tidegraph.sources.star_graph import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Entities of the smaller graph, which has no orders and parts.
-SMALL = ("region", "nation", "customer", "supplier")
 #: The first of the two coordinates that queries compare: a third of the largest Lamport time. The second is the whole log.
 EARLY = "lamport * 3 <= (SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id % 8))"
 
@@ -180,9 +178,12 @@ on_graph(
 on_graph("observer_props", f"WITH {GRAPH_PROPS} SELECT node_id, key, num AS value FROM node_props WHERE key = 'c_acctbal' UNION ALL SELECT node_id, key, NULL FROM node_props WHERE key = 'n_name'")(
     lambda g: seen(g).node_props.select("node_id", "key", F.col("value_num").alias("value"))
 )
+# FNV-1a, byte by byte: the products stay below 2**63
 on_graph(
     "shard_key",
-    None,
+    f"""WITH {GRAPH}, h AS (SELECT list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(node_id, ''), lambda c: ascii(c)::BIGINT)),
+      lambda x, y: (xor(x, y) * 16777619) % 4294967296) AS f FROM nodes)
+    SELECT lower(lpad(to_hex(f % 256), 2, '0')) AS shard, count(*) AS n FROM h GROUP BY 1""",
 )(lambda g: g.nodes.groupBy(shard_key(F.col("node_id")).alias("shard")).agg(F.count("*").alias("n")))
 
 # -- traversals ------------------------------------------------------------------------------------------------------
@@ -200,29 +201,22 @@ on_graph(
 on_graph("is_reachable", f"{REACH} SELECT count(*) > 0 AS reachable FROM walk WHERE node_id = 'region:2'")(lambda g: T.is_reachable(g.edges, "part:1", "region:2"))
 on_graph(
     "connected_component",
-    f"""WITH RECURSIVE {GRAPH}, e2 AS (SELECT src, dst FROM edges WHERE label <> 'contains' AND label <> 'supplied_by' AND label <> 'placed_by' UNION SELECT dst, src FROM edges WHERE label <> 'contains' AND label <> 'supplied_by' AND label <> 'placed_by'),
+    f"""WITH RECURSIVE {GRAPH}, e2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
     walk AS (SELECT 'region:0' AS node_id UNION SELECT dst FROM walk JOIN e2 ON src = node_id) SELECT node_id FROM walk""",
-    SMALL,
 )(lambda g: T.component(g.edges, g.nodes, "region:0"))
-CLOSURE = f"""WITH RECURSIVE {GRAPH}, small AS (SELECT * FROM edges WHERE label IN ('in_region', 'in_nation')),
-walk AS (SELECT src, dst FROM small UNION SELECT w.src, e.dst FROM walk w JOIN small e ON e.src = w.dst)"""
-on_graph("transitive_closure", f"{CLOSURE} SELECT src, dst FROM walk WHERE src <> dst", SMALL)(lambda g: T.closure(g.edges, g.nodes))
-on_graph(
-    "transitive_reduction",
-    f"""{CLOSURE}, s AS (SELECT src, dst, label FROM small UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey, 'shortcut' FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-    SELECT src, dst, label FROM s WHERE label <> 'shortcut'""",
-    SMALL,
-)(
-    lambda g: T.reduction(
-        g.edges.union(
-            g.edges.where("label = 'in_nation' and src like 'supplier:%'")
-            .select("src", F.col("dst").alias("m"))
-            .join(g.edges.where("label = 'in_region'").select(F.col("src").alias("m"), F.col("dst")), "m")
-            .select("src", "dst", F.lit("shortcut"))
-        ),
-        g.nodes,
+CLOSURE = f"WITH RECURSIVE {GRAPH}, walk AS (SELECT src, dst FROM edges UNION SELECT w.src, e.dst FROM walk w JOIN edges e ON e.src = w.dst)"
+on_graph("transitive_closure", f"{CLOSURE} SELECT src, dst FROM walk WHERE src <> dst")(lambda g: T.closure(g.edges, g.nodes))
+on_graph("transitive_reduction", f"WITH {GRAPH} SELECT src, dst, label FROM edges")(lambda g: T.reduction(g.edges.union(shortcuts(g)), g.nodes))
+
+
+def shortcuts(g: Graph) -> DataFrame:
+    """From each supplier to its region and from each order to its customer's nation: what a reduction has to drop."""
+    then = lambda first, second: (
+        g.edges.where(F.col("label") == first).select("src", F.col("dst").alias("m")).join(g.edges.where(F.col("label") == second).select(F.col("src").alias("m"), "dst"), "m")
     )
-)
+    return then("in_nation", "in_region").union(then("placed_by", "in_nation")).select("src", "dst", F.lit("shortcut").alias("label"))
+
+
 on_graph(
     "common_ancestors",
     f"WITH {GRAPH} SELECT node_id FROM (SELECT 'x' AS node_id WHERE false UNION ALL SELECT a.src FROM edges a JOIN edges b USING (src) WHERE a.dst = 'supplier:1' AND b.dst = 'supplier:2' "
@@ -254,10 +248,34 @@ on_graph(
     f AS (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id ORDER BY 2, 1 LIMIT 1000)
     SELECT (depth + 1)::INTEGER AS depth, src, dst, label FROM f JOIN edges ON src = node_id WHERE depth < 2 ORDER BY 1, 2, 3, 4 LIMIT 50""",
 )(lambda g: T.bounded(g.edges, g.nodes, "part:1", 2, 1000, 50))
-on_graph("dfs", None, SMALL)(lambda g: T.dfs(g.edges, "customer:1"))
-on_graph("topological_sort", None, SMALL)(lambda g: T.topological_sort(g.edges, ["customer:1", "supplier:1"]))
-on_graph("a_star", None, SMALL)(lambda g: T.a_star(g.edges, "customer:1", "region:0"))
-on_graph("bidirectional_a_star", None, SMALL)(lambda g: T.bidirectional_a_star(g.edges, "customer:1", "region:0"))
+# orders of the whole graph's reachable part, by rules that SQL can state for this graph: its edges never skip back
+on_graph("dfs")(lambda g: T.dfs(g.edges, "order:1"))
+on_graph("topological_sort")(lambda g: T.topological_sort(g.edges, ["order:1", "order:2"]))
+STEPS = f"""WITH RECURSIVE {GRAPH}, walk AS (SELECT 'order:1' AS node_id, 0 AS d UNION SELECT e.dst, d + 1 FROM walk JOIN edges e ON src = node_id WHERE d < 8)
+SELECT min(d)::DOUBLE AS cost FROM walk WHERE node_id = (SELECT min(node_id) FROM walk WHERE node_id LIKE 'region:%')"""
+on_graph("a_star", STEPS)(lambda g: T.a_star(g.edges, "order:1", nearest_region(g)).select("cost"))
+on_graph("bidirectional_a_star", STEPS)(lambda g: T.bidirectional_a_star(g.edges, "order:1", nearest_region(g)).select("cost"))
+
+
+def nearest_region(g: Graph) -> str:
+    """The smallest region that order:1 reaches; one row."""
+    return T.bfs(g.edges, g.nodes, "order:1").where("node_id like 'region:%'").agg(F.min("node_id")).first()[0]
+
+
+FIXTURES = {
+    "dfs": ("A>B A>C B>D C>E", "ABDCE"),
+    "topological_sort": ("A>B A>C B>D C>D", "ABCD"),
+}
+
+
+def fixture(spark: SparkSession, edges: str) -> DataFrame:
+    return spark.createDataFrame([(*e.split(">"), "e") for e in edges.split()], "src string, dst string, label string")
+
+
+for name, (steps, order) in FIXTURES.items():
+    rows = ", ".join(f"({i}::BIGINT, '{n}')" for i, n in enumerate(order))
+    kernel = {"dfs": lambda e: T.dfs(e, "A"), "topological_sort": lambda e: T.topological_sort(e, ["A"]).select("position", "node_id")}[name]
+    query(f"{name}_fixture", f"SELECT * FROM (VALUES {rows}) t(position, node_id)")(lambda spark, d, steps=steps, kernel=kernel: kernel(fixture(spark, steps)))
 
 # -- the fold and what is read off it --------------------------------------------------------------------------------
 

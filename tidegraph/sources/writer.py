@@ -54,6 +54,8 @@ class PatchSession:
     state: State | None = None
     parent: str = ""
     context: dict[str, int] = field(default_factory=dict)
+    #: the writer's dots so far
+    counter: int = 0
     rows: list[dict] = field(default_factory=list)
     seen_dots: list[tuple[int, str, int]] = field(default_factory=list)
     reads: set[str] = field(default_factory=set)
@@ -61,8 +63,8 @@ class PatchSession:
 
     def _op(self, kind: str, dot: bool = False, **values) -> PatchSession:
         if dot:
-            # one dot per addition: counters run on within the patch
-            values |= {"dot_writer": self.writer, "dot_counter": (self.lamport << 16) + len(self.rows)}
+            self.counter += 1  # one dot per addition: the writer's counter runs on from patch to patch
+            values |= {"dot_writer": self.writer, "dot_counter": self.counter}
         self.rows.append({"op_type": kind, **values})
         return self
 
@@ -163,4 +165,5 @@ def session(spark: SparkSession, log: Log | None, writer: str, state: State | No
         raise PatchError("E_PATCH_CONFLICT", f"the tip of {writer} has moved")
     clock = {r["writer"]: r["counter"] for r in (state.frontier.collect() if state else [])}  # one row per writer
     tick = max([own["seq"] if own else 0, *clock.values()]) + 1
-    return PatchSession(spark, writer, tick, state, own["sha"] if own else "", clock)
+    last = log.ops.where(F.col("dot_writer") == writer).agg(F.max("dot_counter")).first()[0] or 0
+    return PatchSession(spark, writer, tick, state, own["sha"] if own else "", clock, last)
