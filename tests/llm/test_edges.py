@@ -1,7 +1,9 @@
 """Cases that the shared fixture doesn't reach: clashing names, many copies, very long words, new letters."""
 
+import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidegraph.llm import byte_bpe, packing, simhash_dedup, suffix_dedup, url_filter
+from tidegraph.llm import byte_bpe, packing, queries, simhash_dedup, suffix_dedup, url_filter
 
 
 def covered(texts, length):
@@ -133,3 +135,46 @@ def test_simhash_fingerprint_bit_by_bit():
         hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert simhash_dedup.fingerprint(t) == want
+
+
+def spark_hash(*values):
+    """xxhash64 over columns: each value's hash with the one before as its seed, nulls left out."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def winnowed(text):
+    """(hash, position) pairs: of every 16 neighbouring 5-grams the smallest hash, the rightmost among equals."""
+    h = [spark_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    grams = [(spark_hash(*h[i : i + 5]) % (1 << 64)) >> 24 for i in range(max(len(h) - 4, min(len(h), 1)))]
+    windows = [range(i, i + 16) for i in range(len(grams) - 15)] if len(grams) > 16 else [range(len(grams))] if grams else []
+    return sorted({min(((grams[i], -i) for i in w)) for w in windows}, key=lambda e: -e[1])
+
+
+def test_winnow_equals_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghij") * rng.randint(1, 2)
+    texts = [None, "", " \n", "one", "a b c d", "a b c d e", "x " * 90, "é ü 日本 " * 9] + [" ".join(word() for _ in range(rng.choice([3, 15, 20, 21, 60, 300]))) for _ in range(25)]
+    texts.append(texts[-1])
+    docs = spark.createDataFrame([(i * 3, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, entries string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op8_winnow(spark, str(tmp_path)).collect()}
+    said = [t or "" for t in texts]
+    show = lambda f: ",".join(f"{h:x}@{-i}" for h, i in f)
+
+    def near(a, b):
+        x, y = {h for h, _ in a}, {h for h, _ in b}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for i, text in enumerate(said):
+        following = said[i - 1]  # the next in descending order; after the last the first
+        half = len(text) // 2
+        edit = text[: len(text) - half] + following[:half]
+        a, b, c = map(winnowed, (text, edit, following))
+        r = got[i * 3]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edit.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (show(a), show(b))
+        assert abs(r["near_edited"] - near(a, b)) < 1e-12 and abs(r["near_next"] - near(a, c)) < 1e-12

@@ -367,3 +367,20 @@ def test_pipeline(spark, sf_dir):
         docs = out
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_of_no_documents(spark, empty):
+    import corpus_pipeline
+
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.isEmpty()
+
+
+def test_names_of_helpers_stay_the_callers(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text, "d", "e", "f"), (None, "other words " + text[::-1], "g", "h", "i")], "doc_id bigint, text string, _words string, _LINES string, _kept string")
+    rows = quality_rules.ledger(docs).select("doc_id", "_words", "_LINES", "n_words").collect()
+    assert {tuple(r) for r in rows} == {(1, "a", "b", 60), (2, "d", "e", 60), (None, "g", "h", 62)}
+    assert {(r["doc_id"], r["_kept"]) for r in simhash_dedup.keep_one(docs).collect()} == {(1, "c"), (None, "i")}

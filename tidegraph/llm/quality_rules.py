@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.llm.common import spare
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters")
@@ -90,16 +92,17 @@ def repeat_words(words: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every measurement and `failed_bits`, a bigint with one bit per failed rule."""
-    docs = docs.drop("failed_bits", "_words", "_lines", *MEASURES)
+    docs = docs.drop("failed_bits", *MEASURES)
+    words, lines = spare(docs.columns, "_words", "_lines")  # columns of the caller's of these names stay
     found = measures(F.col(text))
-    lists = docs.withColumns({"_words": found.pop("words"), "_lines": found.pop("lines")})
+    lists = docs.withColumns({words: found.pop("words"), lines: found.pop("lines")})
     found |= {
-        "n_words": F.size("_words").cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_words")),
+        "n_words": F.size(words).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeat_words(F.col(words)),
     }
-    measured = lists.withColumns(found).drop("_words", "_lines")
+    measured = lists.withColumns(found).drop(words, lines)
     bits = [F.when(F.expr(r.failed), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")) for r in rules]
     total = bits[0]
     for b in bits[1:]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import in_arrow, session, strings, texts, written
+from tidegraph.llm.common import in_arrow, session, spare, strings, texts, written
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 
@@ -283,9 +283,10 @@ def row_name() -> Column:
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row of every component, with all its columns: the smallest by doc_id, nulls last, then by hash of the text."""
+    (name,) = spare(docs.columns, "_kept")
     made = written(fingerprints(docs, row_name().alias("name")), "fingerprints")
     roots = components(links(made, threshold))
     classes = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"))
     rooted = classes.join(roots, classes.fp == roots.node, "left")
-    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.name").alias("_kept"))
-    return docs.withColumn("_kept", row_name()).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
+    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.name").alias(name))
+    return docs.withColumn(name, row_name()).join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
