@@ -105,7 +105,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         taken = [batch.column(c).take(pa.array(rows)) for c in ("key", "more", "place")]
         return pa.RecordBatch.from_arrays([*taken, pa.array(first), pa.array(last), given], ["key", "more", "place", "first", "last", "window"])
 
-    joined = docs.join(wanted, ["key", "more"]).select("key", "more", "place", "text", "anchors")
+    joined = docs.join(wanted, ["key", "more"])  # all columns, so that its exchange is that of the removal
     extended = in_arrow(joined, each, "key bigint, more int, place bigint, first int, last int, window bigint")
     whole = extended.where("window is null").select("key", "more", "first", "last")
     windows = extended.where("window is not null")
@@ -141,5 +141,5 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    joined = keyed.join(repeated(keyed, length, gram), ["key", "more"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(repeated(keyed, length, gram), ["key", "more"], "left")
     return in_arrow(joined, each, "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")

@@ -310,9 +310,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
         columns = [pa.array(deal), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.array(n), pa.array(texts_ + [None] * (len(n) - len(texts_)), pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["deal", "h", "record", "n", "body"])
 
-    picked = joined.select("key", "more", "text", "anchors")
-    spots = in_arrow(picked, occurrences, "key bigint, more int, first int, last int, h bigint, record bigint, same boolean")
-    intervals = merged(in_arrow(picked.select("text", "anchors"), bodies, "deal bigint, h bigint, record bigint, n bigint, body binary"), length, block)
+    spots = in_arrow(joined, occurrences, "key bigint, more int, first int, last int, h bigint, record bigint, same boolean")
+    intervals = merged(in_arrow(joined, bodies, "deal bigint, h bigint, record bigint, n bigint, body binary"), length, block)
     judged = spots.join(intervals, ["h", "record"], "left").where("same or a is not null")
     start, stop = (F.when(F.col("same"), F.col(c)).otherwise(F.col("first") + F.col(x)) for c, x in (("first", "a"), ("last", "b")))
     return judged.groupBy("key", "more").agg(F.collect_set(F.struct(start.alias("first"), stop.alias("last"))).alias("spans"))
