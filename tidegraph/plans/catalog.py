@@ -323,9 +323,16 @@ on_log("materialize_incremental", f"WITH {STATE} {PROJECTION}")(
 on_log("materialize_ceiling", f"WITH {state_at(EARLY)} SELECT node AS node_id FROM live_nodes")(
     lambda g: V.graph(D.fold(D.at_ceiling(g, third(g)))).nodes
 )
-on_log("materialize_coordinate", f"WITH {state_at('lamport <= 200 AND writer IN (' + repr('w1') + ', ' + repr('w2') + ')')} SELECT node AS node_id FROM live_nodes")(
-    lambda g: V.graph(D.fold(D.at_frontier(g, g.patches.where("writer in ('w1', 'w2') and seq = 200").select("writer", F.col("sha").alias("tip_sha"))))).nodes
+on_log("materialize_coordinate", f"WITH {state_at(EARLY + ' AND writer IN (' + repr('w1') + ', ' + repr('w2') + ')')} SELECT node AS node_id FROM live_nodes")(
+    lambda g: V.graph(D.fold(D.at_frontier(g, tips(g.where((F.col("lamport") <= third(g)) & F.col("writer").isin("w1", "w2")))))).nodes
 )
+
+
+def tips(g: Log) -> DataFrame:
+    """(writer, tip_sha): the last patch of each writer."""
+    return g.patches.groupBy("writer").agg(F.max_by("sha", "seq").alias("tip_sha"))
+
+
 on_log("vv_merge", f"WITH {LOG} SELECT writer, max(lamport) AS counter FROM b WHERE {EARLY} OR writer < 'w4' GROUP BY writer")(
     lambda g: D.fold(g.where(F.col("lamport") <= third(g))).frontier.union(D.fold(g.where("writer < 'w4'")).frontier).groupBy("writer").agg(F.max("counter").alias("counter"))
 )
