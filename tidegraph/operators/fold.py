@@ -192,6 +192,19 @@ def descends(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.agg(F.coalesce(F.bool_and(F.coalesce("counter", F.lit(0)) >= F.col("_b")), F.lit(True)).alias("descends"))
 
 
+def contains(vector: DataFrame, dots: DataFrame) -> DataFrame:
+    """dots (dot_writer, dot_counter) with `contained`: whether the vector (writer, counter) covers them."""
+    known = vector.select(F.col("writer").alias("dot_writer"), "counter")
+    return dots.select(*DOT).join(known, "dot_writer", "left").select(*DOT, (F.col("dot_counter") <= F.coalesce("counter", F.lit(0))).alias("contained"))
+
+
+def increment(vector: DataFrame, writer: str) -> DataFrame:
+    """The vector with a writer's counter one higher; a writer that it doesn't hold begins at 1."""
+    own = vector.sparkSession.range(1).select(F.lit(writer).alias("writer"), F.lit(0).cast("long").alias("counter"))
+    top = vector.select("writer", "counter").union(own).groupBy("writer").agg(F.max("counter").alias("counter"))
+    return top.withColumn("counter", F.col("counter") + (F.col("writer") == writer).cast("int"))
+
+
 def applied(state: State) -> DataFrame:
     """(writer, counter): the largest dot of each writer that a state holds, the vector that compaction goes by."""
     dots = state.node_adds.select(*DOT).union(state.edge_adds.select(*DOT)).union(state.node_tombs).union(state.edge_tombs)

@@ -341,6 +341,13 @@ on_log("vv_descends", f"WITH {LOG} SELECT true AS descends")(
 )
 APPLIED = f"(SELECT writer, max(lamport) AS lim FROM b WHERE {EARLY} GROUP BY writer)"
 limit = lambda g: g.patches.where(F.col("lamport") <= third(g)).groupBy("writer").agg(F.max("lamport").alias("counter"))
+on_log(
+    "vv_contains",
+    f"WITH {LOG} SELECT DISTINCT a.writer AS dot_writer, a.lamport AS dot_counter, a.lamport <= coalesce(l.lim, 0) AS contained FROM node_add a LEFT JOIN {APPLIED} l USING (writer)",
+)(lambda g: D.contains(limit(g), D.fold(g).node_adds.select("dot_writer", "dot_counter").distinct()))
+on_log("vv_increment", f"WITH {LOG} SELECT writer, max(lamport) + CASE WHEN writer = 'w3' THEN 1 ELSE 0 END AS counter FROM b GROUP BY writer UNION ALL SELECT 'zz', 1")(
+    lambda g: D.increment(D.increment(D.fold(g).frontier, "w3"), "zz")
+)
 on_log(
     "gc_compact",
     f"WITH {STATE} SELECT node, writer AS dot_writer, lamport AS dot_counter FROM node_add a WHERE NOT EXISTS (SELECT 1 FROM node_tomb t JOIN {APPLIED} l ON t.dw = l.writer WHERE t.dw = a.writer AND t.dc = a.lamport AND t.dc <= l.lim)",
