@@ -165,3 +165,44 @@ def test_errors_of_traversals(spark):
     assert traverse.closure(line.edges, line.nodes, max_edges=3).count() == 3
     with pytest.raises(Exception, match="NO_PATH"):
         traverse.a_star(line.edges, "C", "A").collect()
+
+
+def test_closure_and_reduction_against_brute_force(spark):
+    import numpy as np
+
+    from tidegraph.sources import compact
+
+    rng = np.random.default_rng(5)
+    for acyclic in (True, False):
+        ends = {(int(a), int(b)) for a, b in rng.integers(0, 40, (70, 2)) if a < b or not acyclic}
+        g = graph(spark, [f"n{i}" for i in range(30)] + ["alone"], [f"n{a}>n{b}/{label}" for a, b in ends for label in "xy"])
+        reach = {i: {b for a, b in ends if a == i} for i in range(40)}
+        for _ in range(40):
+            reach = {i: found.union(*(reach[j] for j in found)) for i, found in reach.items()}
+        found = [tuple(r) for r in traverse.closure(g.edges, g.nodes).collect()]
+        assert sorted(found) == sorted((f"n{a}", f"n{b}") for a in range(30) for b in reach[a] if a != b)
+        back = {tuple(r) for r in traverse.closure(g.edges, g.nodes, "in", ["x"]).collect()}
+        assert back == {(f"n{b}", f"n{a}") for a in range(40) for b in reach[a] if a != b and b < 30}
+        if acyclic:
+            left = sorted((f"n{a}", f"n{b}", label) for a, b in ends if not any(b in reach[m] for x, m in ends if x == a) for label in "xy")
+            assert [tuple(r) for r in traverse.reduction(g.edges, g.nodes).collect()] == left
+    none = graph(spark, ["A"], ["A>B"])
+    assert traverse.closure(none.edges, none.nodes, labels=[]).count() == 0
+    assert traverse.closure(none.edges.where("false"), none.nodes.where("false")).count() == 0
+    assert traverse.reduction(none.edges.where("false"), none.nodes).count() == 0
+    # origins that don't fit together are walked by halves, and one alone without a bound
+    ends, targets = np.array([0, 3, 5, 6, 6]), np.array([1, 2, 3, 2, 3, 3])
+    assert compact.walked(np.arange(3), 4, ends, targets, 4, False) is None
+    assert compact.walked(np.array([0]), 4, ends, targets, None, False)[1].tolist() == [1, 2, 3]
+
+
+def test_closure_neither_shuffles_nor_writes_pairs(spark, monkeypatch):
+    """Pairs by the square of the nodes: a chain of 300 has 44 850."""
+    from tidegraph.operators import traverse as module
+
+    g = graph(spark, [f"{i:03}" for i in range(300)], [f"{i:03}>{i + 1:03}" for i in range(299)] + ["000>299"])
+    monkeypatch.setattr(module, "reach", lambda *_: pytest.fail("pairs go level by level through the shared folder"))
+    found = traverse.closure(g.edges, g.nodes)
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 300 * 299 // 2
+    assert traverse.reduction(g.edges, g.nodes).count() == 299

@@ -2,7 +2,8 @@
 
 A level is one join of the frontier with the edges, less what its origin has seen. Frontiers are written to the shared
 folder after each level, which cuts the lineage and gives the count that ends the loop; nothing else reaches the
-driver. Algorithms whose result is an order (depth first, Kahn's with a heap, A*) run over the reachable subgraph in one
+driver. The closure, whose pairs are many more than the edges, walks the graph's files in the shared folder
+instead, some origins at a time in each task, and neither shuffles nor writes a pair. Algorithms whose result is an order (depth first, Kahn's with a heap, A*) run over the reachable subgraph in one
 task and honour the caller's bound on its size.
 """
 
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.sources import compact
 from tidegraph.sources.shared import written
 
 #: Edges that an ordered algorithm may gather in one task; more is an error, never a cut.
@@ -29,11 +31,15 @@ class GraphError(ValueError):
         self.code = code
 
 
-def directed(edges: DataFrame, direction: str = "out", labels: list[str] | None = None) -> DataFrame:
-    """(a, b) steps in a direction; an empty list of labels leaves none."""
+def stepped(edges: DataFrame, direction: str = "out", labels: list[str] | None = None) -> DataFrame:
+    """(a, b) steps in a direction, one for each label; an empty list of labels leaves none."""
     used = edges if labels is None else edges.where(F.col("label").isin(*labels) if labels else F.lit(False))
     out, back = used.select(F.col("src").alias("a"), F.col("dst").alias("b")), used.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
+    return {"out": out, "in": back, "both": out.union(back)}[direction]
+
+
+def directed(edges: DataFrame, direction: str = "out", labels: list[str] | None = None) -> DataFrame:
+    return stepped(edges, direction, labels).distinct()
 
 
 def reach(steps: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -90,9 +96,7 @@ def component(edges: DataFrame, nodes: DataFrame, start: str) -> DataFrame:
 
 def closure(edges: DataFrame, nodes: DataFrame, direction: str = "out", labels: list[str] | None = None, max_edges: int | None = None) -> DataFrame:
     """(src, dst): every pair with a path between them, but no node with itself; more than max_edges raise E_MAX_EDGES_EXCEEDED."""
-    starts = nodes.select(F.col("node_id").alias("origin"), "node_id")
-    found = reach(directed(edges, direction, labels), starts)
-    pairs = found.where("origin <> node_id").select(F.col("origin").alias("src"), F.col("node_id").alias("dst"))
+    pairs = compact.pairs(compact.compacted(stepped(edges, direction, labels), nodes.select("node_id")))
     if max_edges is not None:
         pairs = written(pairs)
         if pairs.limit(max_edges + 1).count() > max_edges:
