@@ -206,3 +206,17 @@ def test_closure_neither_shuffles_nor_writes_pairs(spark, monkeypatch):
     assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 300 * 299 // 2
     assert traverse.reduction(g.edges, g.nodes).count() == 299
+
+
+def test_reduction_writes_what_it_drops_alone(spark, monkeypatch):
+    """Of a chain of 100 with a step from its start to every node, 98 steps are dropped; its closure has 4950 pairs."""
+    g = graph(spark, [], [f"{i:03}>{i + 1:03}" for i in range(99)] + [f"000>{i:03}" for i in range(2, 100)])
+    rows = []
+
+    def counting(df, *more):
+        rows.append(df.count())
+        return df
+
+    monkeypatch.setattr(traverse, "written", counting)
+    assert traverse.reduction(g.edges, g.nodes).count() == 99
+    assert sum(rows) == 98

@@ -2,8 +2,8 @@
 
 A level is one join of the frontier with the edges, less what its origin has seen. Frontiers are written to the shared
 folder after each level, which cuts the lineage and gives the count that ends the loop; nothing else reaches the
-driver. The closure, whose pairs are many more than the edges, walks the graph's files in the shared folder
-instead, some origins at a time in each task, and neither shuffles nor writes a pair. Algorithms whose result is an order (depth first, Kahn's with a heap, A*) run over the reachable subgraph in one
+driver. The closure and the reduction, whose pairs are many more than the edges, walk the graph's files in the shared
+folder instead, some origins at a time in each task, and neither shuffle nor write a pair. Algorithms whose result is an order (depth first, Kahn's with a heap, A*) run over the reachable subgraph in one
 task and honour the caller's bound on its size.
 """
 
@@ -187,12 +187,11 @@ def levels(edges: DataFrame, nodes: DataFrame, starts: list[str]) -> DataFrame:
 
 def reduction(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges without those that a longer path replaces; all labels of a pair go together; a cycle raises ERR_GRAPH_HAS_CYCLES."""
-    pairs = written(closure(edges, edges.select(F.col("dst").alias("node_id")).distinct()))  # from what edges lead to, which is all that counts
-    back = edges.where("src = dst").select("src", "dst").union(edges.select("src", "dst").join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"))
-    if not back.isEmpty():
+    graph = compact.compacted(stepped(edges), edges.select(F.col("src").alias("node_id")))
+    replaced = written(compact.pairs(graph, replaced=True))
+    if not replaced.where("src = dst").isEmpty():
         raise GraphError("ERR_GRAPH_HAS_CYCLES", "only a graph without cycles has one reduction")
-    indirect = edges.select(F.col("src"), F.col("dst").alias("_m")).distinct().join(pairs.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
-    return edges.join(indirect, ["src", "dst"], "left_anti").select("src", "dst", "label").orderBy("src", "dst", "label")
+    return edges.join(replaced, ["src", "dst"], "left_anti").select("src", "dst", "label").orderBy("src", "dst", "label")
 
 
 def bounded(edges: DataFrame, nodes: DataFrame, start: str, max_depth: int, max_nodes: int, max_edges: int, goal: str | None = None) -> DataFrame:
