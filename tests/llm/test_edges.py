@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -178,3 +179,20 @@ def test_winnow_equals_brute_force(spark, tmp_path):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edit.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (show(a), show(b))
         assert abs(r["near_edited"] - near(a, b)) < 1e-12 and abs(r["near_next"] - near(a, c)) < 1e-12
+
+
+def test_anchors_of_records_against_brute_force():
+    """The rightmost smallest of every window, and records that hold each window inside a row once."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 4, 200).astype(np.uint64) << np.uint64(40) | rng.integers(0, 9, 200).astype(np.uint64)
+    for width in (1, 2, 7, 169, 200):
+        upper = (values >> np.uint64(32)).tolist()
+        want = [min(range(i, i + width), key=lambda k: (upper[k], -k)) for i in range(200 - width + 1)]
+        assert suffix_dedup.least(values, width).tolist() == want
+    rows = ["".join(rng.choice(list("abc"), int(n))) for n in (50, 0, 19, 20, 45, 21, 0)] + [None]
+    r = suffix_dedup.Records(pa.array(rows), 20, 6)
+    data, names = r.data.tobytes(), {}
+    held = sorted(p for a, b in zip(r.first.tolist(), r.last.tolist(), strict=True) for p in range(a, b + 1))
+    assert held == [int(r.bounds[i]) + p for i, t in enumerate(rows) for p in range(len(t or "") - 19)]
+    for a, b, h in zip(r.first.tolist(), r.last.tolist(), r.hash.tolist(), strict=True):
+        assert all(names.setdefault(data[p : p + 20], h) == h for p in range(a, b + 1))

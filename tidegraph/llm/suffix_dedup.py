@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import in_arrow, mix, of_bytes, raw, row_keys, session, window_min, written
+from tidegraph.llm.common import in_arrow, mix, of_bytes, raw, row_keys, session, written
 
 LENGTH, GRAM, BLOCK = 200, 32, 25
 #: Bytes of one shard, and of the records that are merged together (more only where one anchor has more).
@@ -44,6 +44,20 @@ SAME, MERGED, COUNTED = 0, 1, 2
 _ROW = np.uint64(0x9E3779B97F4A7C15)
 
 
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the smallest upper half in every window of that width, the rightmost among equals, so that equal windows agree."""
+    low = values & np.uint64(0xFFFFFFFF00000000)
+    assert len(low) <= 1 << 32, "positions take the lower half"
+    low |= np.arange(len(low) - 1, -1, -1, dtype=np.uint64)
+    span = 1
+    while span < width:  # by doubling: two overlapping windows make one
+        step = min(span, width - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    low &= np.uint64(0xFFFFFFFF)
+    return len(values) - 1 - low.view(np.int64)
+
+
 class Records:
     """Anchors of a batch of texts: their hashes, rows, first and last windows, and the hashes of their records."""
 
@@ -56,21 +70,26 @@ class Records:
         if len(self.data) < length:
             return
         rolling = of_bytes(self.data)
-        at = np.arange(len(self.data) - gram + 1)
-        grams = rolling.of(at, at + gram)
-        anchor = window_min(grams, length - gram + 1)
+        grams = rolling.sums[gram:] - rolling.sums[:-gram]
+        grams *= rolling.inverse[: len(grams)]
+        anchor = least(grams, length - gram + 1)
+        # windows inside their rows, and of them those whose anchor is not the one before's
         sizes = np.diff(self.bounds)
-        row = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-        starts = np.cumsum(np.maximum(sizes - length + 1, 0))
-        window = self.bounds[row] + np.arange(len(row)) - np.concatenate([[0], starts])[row]
-        if not len(window):
+        inside = np.maximum(sizes - length + 1, 0)
+        new = np.ones(len(self.data), bool)
+        new[1 : len(anchor)] = anchor[1:] != anchor[:-1]
+        new[self.bounds[:-1][inside > 0]] = True
+        new &= np.repeat(np.tile([True, False], len(sizes)), np.stack([inside, sizes - inside], 1).ravel())
+        self.first = np.flatnonzero(new)
+        if not len(self.first):
             return
-        anchor = anchor[window]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(row) != 0)]))
-        self.first = window[new]
-        self.last = window[np.concatenate([new[1:], [len(window)]]) - 1]
-        self.row, self.hash = row[new], grams[anchor[new]]
-        self.record = mix(rolling.of(self.first, self.last + length) + (anchor[new] - self.first).astype(np.uint64))
+        self.row = np.searchsorted(self.bounds, self.first, "right") - 1
+        self.last = self.bounds[self.row + 1] - length
+        same = np.flatnonzero(self.row[1:] == self.row[:-1])
+        self.last[same] = self.first[same + 1] - 1
+        anchor = anchor[self.first]
+        self.hash = mix(grams[anchor] + np.uint64(gram))
+        self.record = mix(rolling.of(self.first, self.last + length) + (anchor - self.first).astype(np.uint64))
 
     def named(self) -> np.ndarray:
         return mix(self.hash + (self.row + 1).astype(np.uint64) * _ROW)
@@ -125,9 +144,13 @@ def repeated_starts(bodies: list[bytes], length: int, block: int, shard_bytes: i
     if n <= length:
         return first, flags
     # blocks that may occur twice, by a table of counts, then those that do; the symbol of a block is the rank of its hash
+    rolling = of_bytes(data)
     hashes = np.zeros(n, np.uint64)
-    hashes[: n - block] = of_bytes(data).of(np.arange(n - block), np.arange(block, n))
-    slot = (hashes >> np.uint64(42)).astype(np.int64)
+    np.subtract(rolling.sums[block:n], rolling.sums[: n - block], out=hashes[: n - block])
+    hashes[: n - block] *= rolling.inverse[: n - block]
+    del rolling
+    hashes[: n - block] = mix(hashes[: n - block] + np.uint64(block))
+    slot = (hashes >> np.uint64(42)).astype(np.int32)
     inside &= np.bincount(slot[inside], minlength=1 << 22)[slot] > 1
     at = np.flatnonzero(chains(inside, depth, block))
     _, ranks, counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
@@ -135,20 +158,20 @@ def repeated_starts(bodies: list[bytes], length: int, block: int, shard_bytes: i
     inside[:] = False
     inside[at] = counts[ranks] > 1
     live = chains(inside, depth, block)
-    symbol = np.zeros(n, np.int64)
+    symbol = np.zeros(n, np.int32)  # a task's records are far below 2 GB, and so are all numbers here
     symbol[at] = ranks + 1
     symbol[~live] = 0
     at = np.flatnonzero(live)
     if not len(at):
         return first, flags
-    before = np.zeros(n + block, np.int64)  # the symbol before each place, 0 at the start of a phase
+    before = np.zeros(n + block, np.int32)  # the symbol before each place, 0 at the start of a phase
     before[block:] = symbol
 
     # each shard's suffixes in order, and from it the shard's transform
     shard = (first // shard_bytes)[np.searchsorted(first, at, "right") - 1]
     cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(shard) != 0])), [len(at)]])
-    ahead = np.concatenate([symbol, np.zeros(length, np.int64)])
-    suffixes = np.empty(len(at), np.int64)
+    ahead = np.concatenate([symbol, np.zeros(length, np.int32)])
+    suffixes = np.empty(len(at), np.int32)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         order = at[a:b]
         low = order[0]
@@ -158,7 +181,7 @@ def repeated_starts(bodies: list[bytes], length: int, block: int, shard_bytes: i
             order = order[distribute(own[order - low + d * block])]
         suffixes[a:b] = order
     transform = before[suffixes]
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     place[suffixes] = np.arange(len(at))
 
     # interleave refinement: source is the shard of each suffix that is still together with a neighbour
@@ -336,12 +359,16 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, kept_texts = [], []
         none = batch.column("none").to_pylist()
-        for k, (said, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+        lists = batch.column("spans").fill_null([])
+        ends = np.asarray(lists.offsets, np.int64)
+        firsts, lasts = (np.asarray(lists.values.field(c), np.int64) for c in ("first", "last"))
+        for k, said in enumerate(batch.column("text").to_pylist()):
+            low, high = ends[k], ends[k + 1]
+            spans = high > low
             data = said.encode("utf-8", "surrogatepass")
-            cover = np.zeros(len(data) + 1, np.int64)
-            for s in spans or ():
-                cover[s["first"]] += 1
-                cover[s["last"] + length] -= 1
+            cover = np.zeros(len(data) + 1, np.int32)
+            np.add.at(cover, firsts[low:high], 1)
+            np.add.at(cover, lasts[low:high] + length, -1)
             gone = np.cumsum(cover[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
             out.append((kept, len(data), len(data) - len(kept), len(runs(gone)[0])))
