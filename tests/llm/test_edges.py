@@ -196,3 +196,18 @@ def test_anchors_of_records_against_brute_force():
     assert held == [int(r.bounds[i]) + p for i, t in enumerate(rows) for p in range(len(t or "") - 19)]
     for a, b, h in zip(r.first.tolist(), r.last.tolist(), r.hash.tolist(), strict=True):
         assert all(names.setdefault(data[p : p + 20], h) == h for p in range(a, b + 1))
+
+
+def test_decoding_joins_pieces_by_batch(spark):
+    """Null and unknown ids and null lists give nothing; both columns come from one pass over arrays."""
+    pieces = byte_bpe.vocabulary()
+    n = len(pieces)
+    listed = [[1, 2, 300], None, [], [None, 5, -1, n, n + 7, 6], [n - 1] * 3]
+    rows = spark.createDataFrame([(i, x, "old") for i, x in enumerate(listed)], "i int, ids array<int>, decoded string")
+    made = byte_bpe.decode(rows.coalesce(1), as_integers="numbers")
+    assert made.columns == ["i", "ids", "decoded", "numbers"]
+    for r in made.collect():
+        known = [k for k in listed[r["i"]] or [] if k is not None and 0 <= k < n]
+        assert r["ids"] == listed[r["i"]] and bytes(r["decoded"]) == b"".join(pieces[k] for k in known)
+        assert bytes(r["numbers"]) == struct.pack(f"<{len(known)}I", *known)
+    assert byte_bpe.decode(rows.where("false")).count() == 0

@@ -16,7 +16,7 @@ them are known and numbering starts anew. Both bounds are on memory alone. The m
 are folded beforehand and known to all tasks. Ids are put in place of the numbers after the fold. No text is shuffled,
 and a lost executor costs only its own tasks.
 
-Decoding concatenates the pieces of the ids.
+Decoding concatenates the pieces of the ids, a batch at a time.
 
 Defined cases: a null or empty text has no ids; null ids and ids outside the vocabulary decode to nothing; repeated
 rows are encoded each for itself; an empty table gives an empty table; a column named as the result is replaced, all
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import session
+from tidegraph.llm.common import in_arrow, session
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -212,13 +212,13 @@ def common(docs: DataFrame, text: str, path: str, rows: int, most: int) -> tuple
     counted = sample.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("word")).where(F.octet_length(word) <= LONG).groupBy("word").count()
     listed = counted.orderBy(F.desc("count"), "word").limit(most).select("word").groupBy((F.crc32(word.cast("binary")) % 64).alias("part")).agg(F.collect_list("word").alias("listed"))
 
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("listed")
             yield pa.RecordBatch.from_arrays([lists, pa.ListArray.from_arrays(lists.offsets, of_bytes(lists.values))], ["listed", "spelt"])
 
     ids = let(rank_map(path), lambda r: F.transform("spelt", lambda w: fold(w, r)), f"array<{IDS}>")
-    found = listed.select("listed").mapInArrow(spelt, "listed array<string>, spelt array<array<tinyint>>").select("listed", ids.alias("ids")).toArrow().combine_chunks()
+    found = listed.select("listed").mapInArrow(in_bytes, "listed array<string>, spelt array<array<tinyint>>").select("listed", ids.alias("ids")).toArrow().combine_chunks()
     flat = [found.column(c).combine_chunks() for c in ("listed", "ids")]
     return tuple((c.chunk(0) if isinstance(c, pa.ChunkedArray) else c).flatten() for c in flat)
 
@@ -234,10 +234,15 @@ def of_bytes(strings: pa.Array) -> pa.Array:
 
 def encode(
     docs: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES, most_words: int = MOST_WORDS,
-    keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS, common_words: int = COMMON_WORDS,
+    keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS, common_words: int = COMMON_WORDS, decoded: str | None = None, as_integers: str | None = None,
 ) -> DataFrame:
-    """docs (of them the columns in keep, if given) with the ids of every text, as the tiktoken library would give them without special tokens."""
-    names = [c for c in (docs.columns if keep is None else keep) if c != out]
+    """docs (of them the columns in keep, if given) with the ids of every text, as the tiktoken library would give them without special tokens.
+
+    With decoded or as_integers, columns of these names have what decode makes of the ids, in the same workers.
+    """
+    outs = ({decoded: list(vocabulary(path))} if decoded else {}) | ({as_integers: integers(path)} if as_integers else {})
+    tables = [piece_table(listed) for listed in outs.values()]
+    names = [c for c in (docs.columns if keep is None else keep) if c != out and c not in outs]
     cut = "words"
     while cut in names:
         cut += "_"
@@ -261,14 +266,14 @@ def encode(
                     del known[w]
             anew, first = len(known) == len(often), len(known)
             numbers = np.array([known.setdefault(w, len(known)) for w in found], np.int32)
-            spelt = of_bytes(coded.dictionary.take(pa.array(np.flatnonzero(numbers >= first))))
+            fresh = of_bytes(coded.dictionary.take(pa.array(np.flatnonzero(numbers >= first))))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema) as stream:
                 for r in rows:
                     stream.write_batch(r)
             codes = numbers[np.asarray(coded.indices)] if len(found) else np.zeros(0, np.int32)
             parts = (sink.getvalue().to_pybytes(), np.concatenate(sizes).astype("<i4").tobytes(), codes.astype("<i4").tobytes())
-            chunk = pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt)
+            chunk = pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), fresh)
             return pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in parts), pa.array([anew]), chunk], ["rows", "sizes", "codes", "anew", "words"])
 
         held = 0
@@ -309,30 +314,47 @@ def encode(
                         ids = values[np.repeat(first[used] - total[:-1], n) + np.arange(total[-1])]
                         cuts = total[np.concatenate([[0], ends[row : row + part.num_rows] - low])]
                         column = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
-                        yield pa.RecordBatch.from_arrays([*part.columns, column], [*names, out])
+                        yield pa.RecordBatch.from_arrays([*part.columns, column, *(spelt(column, t) for t in tables)], [*names, out, *outs])
                         row += part.num_rows
 
     chunks = listed.mapInArrow(gather, "rows binary, sizes binary, codes binary, anew boolean, words array<array<tinyint>>")
     ids = let(rank_map(path), lambda r: F.transform("words", lambda w: fold(w, r)), f"array<{IDS}>")
-    schema = kept.withColumn(out, F.array().cast(IDS)).schema
+    schema = kept.withColumns({out: F.array().cast(IDS), **dict.fromkeys(outs, F.lit(b""))}).schema
     return chunks.select("rows", "sizes", "codes", "anew", ids.alias("ids")).mapInArrow(spread, schema)
 
 
-def binary(ids: Column, pieces: list[bytes]) -> Column:
-    """The concatenation of a piece for each id."""
-    listed = F.from_json(F.lit(json.dumps([p.hex() for p in pieces], separators=(",", ":"))), "array<string>")
-    return F.unhex(let(listed, lambda p: F.array_join(F.transform(F.coalesce(ids, F.array().cast(IDS)), lambda i: F.get(p, i)), ""), "string"))
+def piece_table(pieces: list[bytes]) -> pa.Array:
+    return pa.array([*pieces, b""], pa.binary())
+
+
+def spelt(lists: pa.Array, table: pa.Array) -> pa.Array:
+    """Of each list of ids the table's pieces, one behind the other; null and unknown ids have the last one, nothing."""
+    lists = lists.fill_null([])
+    at = np.asarray(lists.flatten().fill_null(-1), np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))])
+    pieces = table.take(pa.array(np.where((at < 0) | (at >= len(table) - 1), len(table) - 1, at)))
+    _, offsets, data = pieces.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[ends].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts), data])
+
+
+def concatenated(rows: DataFrame, ids: str, outs: dict[str, list[bytes]]) -> DataFrame:
+    """rows with binary columns: for each of them a piece for each id, one behind the other."""
+    schema = rows.withColumns(dict.fromkeys(outs, F.lit(b""))).schema
 
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = {n: spelt(batch.column(ids), listed) for n, listed in tables.items()}
+        return pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in schema.names], schema.names)
 
-def decoded(ids: Column, path: str = VOCABULARY) -> Column:
-    return binary(ids, list(vocabulary(path)))
+    tables = {out: piece_table(listed) for out, listed in outs.items()}
+    return in_arrow(rows, each, schema)
 
 
-def as_integers(ids: Column, path: str = VOCABULARY) -> Column:
-    """The ids as little-endian unsigned 32-bit integers."""
-    return binary(ids, [i.to_bytes(4, "little") for i in range(len(vocabulary(path)))])
+def integers(path: str = VOCABULARY) -> list[bytes]:
+    """Each id as a little-endian unsigned 32-bit integer."""
+    return [i.to_bytes(4, "little") for i in range(len(vocabulary(path)))]
 
 
-def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
-    """rows with the bytes that their ids stand for."""
-    return rows.withColumn(out, decoded(F.col(ids), path))
+def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str = VOCABULARY, as_integers: str | None = None) -> DataFrame:
+    """rows with the bytes that their ids stand for and, in a column of its own if one is named, the ids as integers."""
+    return concatenated(rows, ids, {out: list(vocabulary(path))} | ({as_integers: integers(path)} if as_integers else {}))

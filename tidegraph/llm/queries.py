@@ -149,8 +149,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.col("ids")
-    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
-    return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(byte_bpe.as_integers(ids), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], decoded="decoded", as_integers="integers")
+    return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2("integers", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
