@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tidegraph.llm import byte_bpe, packing, queries, simhash_dedup, suffix_dedup, url_filter
+from tidegraph.llm import byte_bpe, common, packing, queries, simhash_dedup, substring_dedup, suffix_dedup, url_filter
 
 
 def covered(texts, length):
@@ -211,3 +211,61 @@ def test_decoding_joins_pieces_by_batch(spark):
         assert r["ids"] == listed[r["i"]] and bytes(r["decoded"]) == b"".join(pieces[k] for k in known)
         assert bytes(r["numbers"]) == struct.pack(f"<{len(known)}I", *known)
     assert byte_bpe.decode(rows.where("false")).count() == 0
+
+
+def test_word_bounds_of_any_rows():
+    rng = random.Random(3)
+    for _ in range(300):
+        rows = [bytes(rng.choice(b"ab \n\t\x0b\x0c\r\x1c") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 6))]
+        data = np.frombuffer(b"".join(rows), np.uint8)
+        start, end, row = common.word_bounds(data, np.cumsum([0, *map(len, rows)]))
+        words = [(k, w) for k, r in enumerate(rows) for w in re.findall(rb"[^\x20\x09-\x0D]+", r)]
+        assert [(k, data[a:b].tobytes()) for k, a, b in zip(row, start, end, strict=True)] == words
+
+
+def test_substring_dedup_hashes_windows_of_the_first_copy_alone(spark, monkeypatch):
+    """Two texts that differ in one word, many times each, by turns: later copies cost stretches, not windows."""
+    made, in_arrow = [], substring_dedup.in_arrow
+    monkeypatch.setattr(substring_dedup, "in_arrow", lambda *args: made.append(in_arrow(*args)) or made[-1])
+    words = [f"w{random.Random(8).random() + i}" for i in range(150)]
+    texts = [" ".join(words), " ".join([*words[:70], "other", *words[71:]])]
+    docs = spark.createDataFrame([(i, texts[i % 2]) for i in range(40)], "doc_id bigint, text string")
+    substring_dedup.strip(docs)
+    [rows] = [d.count() for d in made if "window" in d.columns]
+    assert rows <= 2 * 101 + 5 * 40
+
+
+def test_substring_dedup_cuts_batches_at_rows(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 40)
+    texts = ["a" * n for n in (0, 39, 1, 0, 90, 5, 5, 5, 30, 0, 200, 0)]
+    for low in range(len(texts)):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([[i] * i for i in range(len(texts))])], ["text", "l"]).slice(low)
+        parts = list(substring_dedup.pieces(batch))
+        assert pa.concat_batches(parts).equals(batch)
+        assert all(sum(map(len, p["text"].to_pylist()[1:])) < 40 for p in parts)
+
+
+def test_substring_dedup_of_few_words(spark):
+    """Passages over three letters: anchors with many records, records that repeat within a text, rows that share a doc_id."""
+    rng = random.Random(11)
+    say = lambda n: [rng.choice("abc") for _ in range(n)]
+    passage = say(25)
+    texts = [say(rng.randint(0, 40)) for _ in range(60)] + [say(rng.randint(0, 9)) + passage + say(rng.randint(0, 9)) for _ in range(40)] + [["a"] * 30, ["a"] * 40]
+    ids = [rng.choice([None, *range(70)]) for _ in texts]
+    rows = [(d, " ".join(w)) for d, w in zip(ids, texts, strict=True)]
+    rows += rows[:9]
+    order = lambda d: (d is None, d or 0)
+    first = {}
+    for d, t in rows:
+        for i in range(len(t.split()) - 7):
+            k = tuple(t.split()[i : i + 8])
+            first[k] = min(first.get(k, order(d)), order(d))
+    want = []
+    for d, t in rows:
+        w = t.split()
+        gone = [any(first[tuple(w[i : i + 8])] < order(d) for i in range(max(0, j - 7), min(j, len(w) - 8) + 1)) for j in range(len(w))]
+        edges = np.flatnonzero(np.diff([0, *gone, 0])).tolist()
+        want.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g), list(zip(edges[::2], edges[1::2], strict=True))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(*r[:4], [tuple(s) for s in r["spans"]]) for r in substring_dedup.strip(docs, 8, 3).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

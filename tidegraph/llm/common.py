@@ -134,23 +134,22 @@ def of_bytes(data: np.ndarray) -> Rolling:
     return Rolling(_BYTE_VALUES[data])
 
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, 9, 10, 11, 12, 13]] = True
+_DARK = np.ones(256, np.int8)
+_DARK[[0x20, 9, 10, 11, 12, 13]] = 0
 
 
 def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each word, bytes without white space, of the rows that bounds cuts data into."""
-    dark = np.zeros(len(data) + 1, bool)
-    dark[:-1] = ~_WHITE[data]
-    before = np.zeros(len(data) + 1, bool)
-    before[1:] = dark[:-1]
-    edge = bounds[1:-1]
-    start = np.flatnonzero(dark & ~before)
-    cut = edge[(edge > 0) & (edge < len(data))]
-    cut = np.unique(cut[dark[cut] & before[cut]])  # a word that ends where the next row's first begins
-    start = np.union1d(start, cut)
-    end = np.union1d(np.flatnonzero(before & ~dark), cut)
-    return start, end, np.searchsorted(bounds, start, "right") - 1
+    dark = np.zeros(len(data) + 2, np.int8)  # dark[i + 1] is that of byte i
+    np.take(_DARK, data, out=dark[1:-1])
+    at = np.flatnonzero(dark[1:] != dark[:-1])  # starts and ends by turns
+    cut = bounds[1:-1]
+    cut = cut[(dark[cut] & dark[cut + 1]) > 0]  # a word that ends where the next row's first begins
+    if len(cut):
+        cut = cut[np.concatenate([[True], cut[1:] != cut[:-1]])]
+        at = np.insert(at, np.repeat(np.searchsorted(at, cut), 2), np.repeat(cut, 2))
+    start, end = at[::2], at[1::2]
+    return start, end, np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(start, bounds)))
 
 
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
