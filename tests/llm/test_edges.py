@@ -74,6 +74,22 @@ def test_byte_bpe_equals_the_library(spark):
         assert list(r["ids"]) == library.encode_ordinary(text) and bytes(r["decoded"]) == text.encode() and r["words"] == "w"
 
 
+def test_words_are_cut_in_arrays_as_by_the_pattern(spark):
+    """Rows of endings, white space and other scripts, null, empty, sliced or no text at all; no expression of Spark makes words."""
+    import public_tokenizers
+    import regex
+
+    pattern, rng = regex.compile(public_tokenizers.PATTERN), random.Random(5)
+    parts = [*"abst'remvld'  \n\t09.é日\u3000\x1c\x85\U0001d7ce!-\U00010d40", "'s", "'re", "'ll", " '", "''", "'d", "a'", "  "]
+    for k in range(1500):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 6))]
+        column = pa.array(["zz's ", *texts], pa.string()).slice(1) if k % 2 else pa.array(texts, pa.string())
+        assert byte_bpe.words(column).to_pylist() == [pattern.findall(t or "") for t in texts]
+    assert byte_bpe.words(pa.array([b"a\xff b", b"x's"], pa.binary())).to_pylist() == [["a", "\ufffd", " b"], ["x", "'s"]]
+    docs = spark.createDataFrame([(1, "it's  so")], "doc_id bigint, text string")
+    assert "regexp_extract_all" not in byte_bpe.encode(docs)._jdf.queryExecution().toString()
+
+
 def test_every_piece_folds_to_itself():
     """What folding all pairs of one rank at once rests on: a piece is made by merges of lower ranks alone."""
     pieces = byte_bpe.vocabulary()
